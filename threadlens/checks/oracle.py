@@ -230,8 +230,8 @@ ORACLE_SQL: dict[str, str] = {
     "csv_backup": _INGESTED,
     "csv_condensed": _CONDENSE,
     "csv_missing_communities": f"""{with_views(POSTS)}
-        select distinct source community from documents
-        where source not in (select community from posts where num_comments > 1)""",
+        select distinct name community from (select unnest([source, lang]) as name from documents)
+        where name not in (select community from posts where num_comments > 1)""",
     "ingest_json": _INGESTED,
     "ingest_json_comments": _INGESTED_COMMENTS,
     "ingest_stream": _INGESTED,

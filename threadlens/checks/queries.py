@@ -229,39 +229,44 @@ def union_results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def measuring_model(instruction: str, prompts: list[str]) -> list[str]:
+def _measuring_backend(spark: SparkSession) -> FunctionModel:
     """A stand-in model whose replies follow from the length of the prompt."""
-    sizes = [len(prompt) for prompt in prompts]
-    if instruction == P.GENERALIZE_INSTRUCTION:
-        return [f"general {n}" for n in sizes]
-    if instruction == P.ANSWER_INSTRUCTION:
-        return [
-            json.dumps(
-                {
-                    "Answer": f"answer {n}",
-                    "Steps": f"{n} steps",
-                    "Confidence": (90 + n % 10) / 100,
-                    "Is_Solution": n % 2 == 0,
-                }
-            )
-            for n in sizes
-        ]
     levels = ("High", "Medium", "Low", "None")
-    return [
-        json.dumps(
+
+    def answer(n: int) -> str:
+        return json.dumps(
+            {
+                "Answer": f"answer {n}",
+                "Steps": f"{n} steps",
+                "Confidence": (90 + n % 10) / 100,
+                "Is_Solution": n % 2 == 0,
+            }
+        )
+
+    def analysis(n: int) -> str:
+        return json.dumps(
             {
                 "user_complaint": f"complaint {n}",
                 "diagnosis": -1000 if n % 5 == 0 else f"diagnosis {n}",
                 "cybersecurity_relevance": levels[n % 4],
             }
         )
-        for n in sizes
-    ]
+
+    stages = {
+        P.ANALYSIS_INSTRUCTION: analysis,
+        P.GENERALIZE_INSTRUCTION: lambda n: f"general {n}",
+        P.ANSWER_INSTRUCTION: answer,
+    }
+
+    def model(instruction: str, prompts: list[str]) -> list[str]:
+        return [stages[instruction](len(prompt)) for prompt in prompts]
+
+    return FunctionModel(model, partitions=spark.sparkContext.defaultParallelism)
 
 
 def condense_callable(spark: SparkSession, sf: str) -> DataFrame:
     return condense(
-        views.posts(spark, sf), views.comments(spark, sf), FunctionModel(measuring_model)
+        views.posts(spark, sf), views.comments(spark, sf), _measuring_backend(spark)
     )
 
 
@@ -283,7 +288,7 @@ def condense_incremental_table(spark: SparkSession, sf: str) -> DataFrame:
     """A first run takes part of the posts, a second one all of them, in chunks."""
     out = new_folder(spark, "incremental")
     posts, comments = views.posts(spark, sf), views.comments(spark, sf)
-    backend = FunctionModel(measuring_model)
+    backend = _measuring_backend(spark)
     discussed = comments.select("post_id").distinct()
     condense_incremental(
         posts.join(discussed, "post_id", "left_semi"), comments, backend, out
@@ -330,10 +335,11 @@ def csv_condensed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_missing_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Every source is asked for; some have no post with a discussion."""
+    """Sources and languages are asked for; only sources are communities."""
     documents = spark.read.parquet(f"{sf}/documents.parquet")
-    # One name per source: a list the user would type.
-    names = [r[0] for r in documents.select("source").distinct().collect()]
+    asked = documents.select(F.explode(F.array("source", "lang")).alias("name"))
+    # Stands for the list of names a user types.
+    names = [row["name"] for row in asked.distinct().collect()]
     return missing_communities(spark, _written_threads(spark, sf), names)
 
 

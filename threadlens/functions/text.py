@@ -5,6 +5,9 @@ be used in filters, projections and streams alike. Nothing here looks at less
 than the whole text.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +29,25 @@ _URL = f"https?://[^{WHITESPACE}]+"
 _IMAGE_URL = rf"{_URL}\.(?:{'|'.join(IMAGE_SUFFIXES)})"
 
 
+def _mapped(text: Column, chars: str, partners: str) -> Column:
+    """`translate`, applied only to text that may hold one of the characters.
+
+    Translating looks up every character, which costs several times the byte
+    searches below; most text is plain ASCII and needs neither.
+    """
+    leads = sorted({char.encode()[:2] for char in chars})
+    held = reduce(
+        or_, (F.contains(text.cast("binary"), F.lit(lead)) for lead in leads)
+    )
+    beyond_ascii = F.octet_length(text) > F.char_length(text)
+    return F.when(beyond_ascii & held, F.translate(text, chars, partners)).otherwise(
+        text
+    )
+
+
 def normalize_ascii(text: Column) -> Column:
     """Full-width ASCII to plain ASCII; empty text to null."""
-    return F.when(text != "", F.translate(text, FULLWIDTH, HALFWIDTH))
+    return F.when(text != "", _mapped(text, FULLWIDTH, HALFWIDTH))
 
 
 def normalize_text(text: Column) -> Column:
@@ -37,9 +56,7 @@ def normalize_text(text: Column) -> Column:
     Only an empty input becomes null: text of white space alone becomes "".
     """
     # Characters without a partner in the second list are dropped by translate.
-    plain = F.translate(
-        text, FULLWIDTH + IDEOGRAPHIC_SPACE + DROPPED, HALFWIDTH + " "
-    )
+    plain = _mapped(text, FULLWIDTH + IDEOGRAPHIC_SPACE + DROPPED, HALFWIDTH + " ")
     return F.when(text != "", F.btrim(plain, F.lit(WHITESPACE)))
 
 

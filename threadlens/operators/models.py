@@ -4,11 +4,13 @@ A backend adds a model's reply to the rows that need one. `Replay` takes replies
 from a table; `FunctionModel` calls a function the user brings.
 """
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ RETRIED_ERRORS = (ConnectionError, TimeoutError)
 
 _ADDED = ["reply", "status", "error", "attempts"]
 
+# Tasks get the helpers of this module together with the user's function, so
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Replay:
@@ -104,22 +110,17 @@ class FunctionModel:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for start in range(0, len(frame), size):
-                    batch = frame.iloc[start : start + size]
-                    answers = ask(
+                texts, answers = frame["prompt"].tolist(), []
+                for start in range(0, len(texts), size):
+                    answers += ask(
                         lambda prompts: function(instruction, prompts),
-                        batch["prompt"].tolist(),
+                        texts[start : start + size],
                         tries,
                         wait,
                         sleep,
                     )
-                    yield pd.concat(
-                        [
-                            batch[["post_id", "round"]].reset_index(drop=True),
-                            pd.DataFrame(answers, columns=_ADDED, dtype=object),
-                        ],
-                        axis=1,
-                    )
+                added = pd.DataFrame(answers, columns=_ADDED, index=frame.index)
+                yield frame[["post_id", "round"]].join(added)
 
         return prompts.mapInPandas(run, REPLIES)
 

@@ -1,40 +1,47 @@
 """From comment rows to the text of a thread."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.storage import stored
 
 # A prompt is one value and has to fit one row. Far above what a model takes.
 MAX_THREAD_BYTES = 64 * 1024 * 1024
+_USUAL_BODY = 64 * 1024
 _BROADCAST_ROWS = 100_000
 
 
 def thread_parts(comments: DataFrame, max_bytes: int = MAX_THREAD_BYTES) -> DataFrame:
     """`post_id, part, whole, body_text`: comment bodies in order of `seq`.
 
-    Bodies are joined by newlines and null bodies skipped; a thread of nothing
-    but null bodies is empty text. Almost every thread is one row with `whole`
-    true. One longer than `max_bytes` comes in several rows, in order of `part`,
-    each within the bound (or a single comment), so that no task ever gathers a
+    `seq` has to be distinct within a post and should count from 1. Bodies are
+    joined by newlines and null bodies skipped; a thread of nothing but null
+    bodies is empty text. Almost every thread is one row with `whole` true. One
+    longer than `max_bytes` comes in several rows, in order of `part`, each
+    within the bound (or a single comment), so that no task ever gathers a
     thread of unbounded size; put together by newlines they are the whole text.
     """
     long = _long_threads(comments, max_bytes)
-    found = long.count()
-    if not found:
-        return _joined_bodies(
-            comments.withColumns({"part": F.lit(0).cast("long"), "whole": F.lit(True)})
+    if long is None:
+        return _whole_threads(comments).select(
+            "post_id",
+            F.lit(0).cast("long").alias("part"),
+            F.lit(True).alias("whole"),
+            "body_text",
         )
-    # Otherwise plain: adaptive execution splits what is skewed.
-    side = F.broadcast(long) if found <= _BROADCAST_ROWS else long
     part = F.floor((F.col("seq") - 1) / F.col("per_part"))
-    return _joined_bodies(
-        comments.join(side, "post_id", "left").withColumns(
-            {
-                "part": F.coalesce(part, F.lit(0)).cast("long"),
-                "whole": F.col("per_part").isNull(),
-            }
+    return (
+        comments.join(_small(long), "post_id", "left")
+        .select(
+            "post_id",
+            F.coalesce(part, F.lit(0)).cast("long").alias("part"),
+            F.col("per_part").isNull().alias("whole"),
+            "seq",
+            "body",
         )
+        .repartition("post_id", "part")
+        .groupBy("post_id", "part", "whole")
+        .agg(_bodies().alias("body_text"))
     )
 
 
@@ -52,49 +59,68 @@ def join_threads(
 
 
 def threads_for_prompts(
-    comments: DataFrame, max_bytes: int = MAX_THREAD_BYTES
+    comments: DataFrame, posts: DataFrame, max_bytes: int = MAX_THREAD_BYTES
 ) -> DataFrame:
-    """One row per post with comments: `post_id, body_text`.
+    """One row per given post with comments: `post_id, body_text`.
 
     `body_text` is null where the thread is too long for one prompt.
     """
     long = _long_threads(comments, max_bytes)
-    found = long.count()
-    whole = comments
-    if found:
-        side = F.broadcast(long) if found <= _BROADCAST_ROWS else long
-        whole = comments.join(side, "post_id", "left_anti")
-    texts = _joined_bodies(
-        whole.withColumns({"part": F.lit(0), "whole": F.lit(True)})
-    ).select("post_id", "body_text")
-    if not found:
-        return texts
-    return texts.unionByName(
+    wanted = comments.join(posts.select("post_id"), "post_id", "left_semi")
+    if long is None:
+        return _whole_threads(wanted)
+    short = wanted.join(_small(long), "post_id", "left_anti")
+    return _whole_threads(short).unionByName(
         long.select("post_id", F.lit(None).cast("string").alias("body_text"))
     )
 
 
-def _joined_bodies(comments: DataFrame) -> DataFrame:
+def _bodies() -> Column:
     rows = F.sort_array(F.collect_list(F.struct("seq", "body")))
-    text = F.array_join(F.transform(rows, lambda row: row["body"]), "\n")
-    return comments.groupBy("post_id", "part", "whole").agg(text.alias("body_text"))
+    return F.array_join(F.transform(rows, lambda row: row["body"]), "\n")
 
 
-def _long_threads(comments: DataFrame, max_bytes: int) -> DataFrame:
-    """Threads over the bound, at most total bytes / bound rows.
+def _whole_threads(comments: DataFrame) -> DataFrame:
+    # Gathering shrinks nothing, so combining in the map tasks would be in vain:
+    # the explicit shuffle by key leaves it out.
+    return (
+        comments.select("post_id", "seq", "body")
+        .repartition("post_id")
+        .groupBy("post_id")
+        .agg(_bodies().alias("body_text"))
+    )
+
 
-    `per_part` comments of such a thread stay within the bound whichever they
-    are, its longest comment being known. Sums are combined map-side; the second
-    scan of the bodies moves next to nothing.
+def _long_threads(comments: DataFrame, max_bytes: int) -> DataFrame | None:
+    """`post_id, per_part` of threads over the bound; None if there are none.
+
+    A thread with so few comments that it fits as long as none of them exceeds
+    `_USUAL_BODY` is not measured; so finding out that there is nothing to
+    measure reads one number per comment. `per_part` comments of a long thread
+    stay within the bound whichever they are, its longest comment being known.
     """
+    deep = comments.filter(F.col("seq") > max_bytes // _USUAL_BODY).select("post_id")
+    if deep.isEmpty():
+        return None
+    deep = stored(deep.distinct(), "deep-threads")
     size = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long") + 1
-    sizes = comments.groupBy("post_id").agg(
-        F.sum(size).alias("bytes"), F.max(size).alias("longest")
+    sizes = comments.select("post_id", size.alias("size")).join(
+        _small(deep), "post_id", "left_semi"
     )
-    per_part = F.greatest(F.floor(F.lit(max_bytes) / F.col("longest")), F.lit(1))
-    return stored(
-        sizes.filter(F.col("bytes") > max_bytes).select(
-            "post_id", per_part.alias("per_part")
-        ),
+    per_part = F.greatest(F.floor(F.lit(max_bytes) / F.max("size")), F.lit(1))
+    long = stored(
+        sizes.groupBy("post_id")
+        .agg(F.sum("size").alias("bytes"), per_part.alias("per_part"))
+        .filter(F.col("bytes") > max_bytes)
+        .select("post_id", "per_part"),
         "long-threads",
     )
+    return None if long.isEmpty() else long
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """A stored table, broadcast if its size allows; else a plain join side.
+
+    In a plain join adaptive execution splits the partitions of hot posts.
+    """
+    return F.broadcast(keys) if keys.count() <= _BROADCAST_ROWS else keys

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from threadlens.operators.ranking import number_within
@@ -22,17 +22,13 @@ def flatten(comments: DataFrame, large_thread: int = _LARGE_THREAD) -> DataFrame
 
     Threads beyond `large_thread` comments are numbered over many tasks.
     """
-    placed = stored(_paths(comments), "paths")
-    large = stored(
-        placed.groupBy("post_id")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > large_thread)
-        .select("post_id"),
-        "large-threads",
-    )
+    placed = _paths(comments)
     order = [F.col("depth").asc_nulls_last(), F.col("path")]
+    sizes = placed.groupBy("post_id").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > large_thread).select("post_id")
     if large.isEmpty():
         return _numbered(placed, order)
+    large = stored(large, "large-threads")
     rest = _numbered(placed.join(large, "post_id", "left_anti"), order)
     spread = number_within(
         placed.join(large, "post_id", "left_semi"), ["post_id"], order, "seq"
@@ -54,15 +50,16 @@ def _paths(comments: DataFrame) -> DataFrame:
     take part, and finished comments are never written again.
     """
     here = F.struct(F.col("pos"), F.col("comment_id"))
-    nodes = stored(
+    nodes, left = _kept(
         comments.select(
-            "post_id", "comment_id", F.col("parent_id").alias("up"), F.array(here).alias("path")
-        ),
-        "nodes",
+            "post_id",
+            "comment_id",
+            F.col("parent_id").alias("up"),
+            F.array(here).alias("path"),
+        )
     )
     finished = [nodes.filter(F.col("up").isNull())]
     climbing = nodes.filter(F.col("up").isNotNull())
-    left = climbing.count()
     while left:
         known = reduce(DataFrame.unionByName, [*finished, climbing]).select(
             "post_id",
@@ -71,7 +68,7 @@ def _paths(comments: DataFrame) -> DataFrame:
             F.col("path").alias("upper"),
         )
         # A missing parent gives nulls and thereby ends the climb.
-        climbed = stored(
+        nodes, still = _kept(
             climbing.join(known, ["post_id", "up"], "left").select(
                 "post_id",
                 "comment_id",
@@ -79,15 +76,14 @@ def _paths(comments: DataFrame) -> DataFrame:
                 F.when(F.col("upper").isNull(), F.col("path"))
                 .otherwise(F.concat("upper", "path"))
                 .alias("path"),
-            ),
-            "nodes",
+            )
         )
-        finished.append(climbed.filter(F.col("up").isNull()))
-        climbing = climbed.filter(F.col("up").isNotNull())
-        before, left = left, climbing.count()
-        if left == before:
+        finished.append(nodes.filter(F.col("up").isNull()))
+        climbing = nodes.filter(F.col("up").isNotNull())
+        if still == left:
             # Each round ends the climb of someone unless all are on a cycle.
             break
+        left = still
     depth = (F.size("path") - 1).cast("long")
     listed = reduce(DataFrame.unionByName, finished).withColumn("depth", depth)
     if not left:
@@ -99,3 +95,10 @@ def _paths(comments: DataFrame) -> DataFrame:
         F.slice("path", -1, 1).alias("path"),
     )
     return listed.drop("up").unionByName(circular)
+
+
+def _kept(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """The nodes as a written table, and how many still have to climb."""
+    counter = Observation()
+    counted = nodes.observe(counter, F.count_if(F.col("up").isNotNull()).alias("left"))
+    return stored(counted, "nodes"), counter.get["left"]

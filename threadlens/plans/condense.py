@@ -116,12 +116,11 @@ def _answered(rows: DataFrame, comments: DataFrame, backend: Backend) -> DataFra
     ok = F.col("status") == "ok"
     if backend.reads_prompts:
         # Comments of posts that dropped out are not gathered.
-        wanted = comments.join(
-            rows.filter(ok).select("post_id"), "post_id", "left_semi"
-        )
-        threads = threads_for_prompts(wanted)
+        threads = threads_for_prompts(comments, rows.filter(ok))
     else:
-        threads = comments.select("post_id", F.lit("").alias("body_text")).distinct()
+        threads = (
+            comments.select("post_id").distinct().withColumn("body_text", F.lit(""))
+        )
     threads = threads.withColumn("_commented", F.lit(True))
     joined = rows.join(threads, "post_id", "left")
     has_comments = F.coalesce("_commented", F.lit(False))
