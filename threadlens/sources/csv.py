@@ -46,16 +46,17 @@ def missing_communities(
 
     Only file names are listed, no file is opened.
     """
-    root, names = (f"{base}/posts", "*.csv") if layout == "tables" else (base, "*_posts.csv")
+    tables = layout == "tables"
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", names)
-        .load(root)
-    )
-    present = files.select(
-        F.regexp_replace(_folder(F.col("path")), "^community=", "").alias("community")
+        .option("pathGlobFilter", "*.csv" if tables else "*_posts.csv")
+        .load(f"{base}/posts" if tables else base)
     )
+    folder = _folder(F.col("path"))
+    if tables:
+        folder = _decoded(F.regexp_replace(folder, "^community=", ""))
+    present = files.select(folder.alias("community"))
     wanted = spark.createDataFrame([(c,) for c in requested], "community string")
     return wanted.join(present, "community", "left_anti")
 
@@ -69,13 +70,16 @@ def _read_folders(
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*_{table}.csv")
         .csv(base)
-        .withColumn("community", _folder(F.col("_metadata.file_path")))
+        .withColumn("community", _decoded(_folder(F.col("_metadata.file_path"))))
     )
 
 
 def _folder(path: Column) -> Column:
-    name = F.element_at(F.split(path, "/"), -2)
-    # File paths come percent-encoded, in which a plus sign is a plus sign.
+    return F.element_at(F.split(path, "/"), -2)
+
+
+def _decoded(name: Column) -> Column:
+    # Percent-encoded as in a path, where a plus sign is a plus sign.
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
