@@ -64,7 +64,7 @@ def extract_links_comments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def post_type(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = views.table(spark, sf, "pages")
     return pages.select("page_id", X.post_type(F.col("url")).alias("post_type"))
 
 
@@ -336,7 +336,7 @@ def csv_condensed(spark: SparkSession, sf: str) -> DataFrame:
 
 def csv_missing_communities(spark: SparkSession, sf: str) -> DataFrame:
     """Sources and languages are asked for; only sources are communities."""
-    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    documents = views.table(spark, sf, "documents")
     asked = documents.select(F.explode(F.array("source", "lang")).alias("name"))
     # Stands for the list of names a user types.
     names = [row["name"] for row in asked.distinct().collect()]

@@ -63,15 +63,22 @@ def normalize_text(text: Column) -> Column:
 def extract_links(text: Column) -> Column:
     """All image URLs, else all URLs, else a fixed phrase."""
 
-    def joined(pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        return F.nullif(F.array_join(found, ", "), F.lit(""))
-
-    # Most text holds no URL: one substring search spares it both patterns.
-    found = F.when(
-        F.contains(text, F.lit("://")), F.coalesce(joined(_IMAGE_URL), joined(_URL))
+    def listed(urls: Column) -> Column:
+        # An image URL lies within a run of non-space characters, as a URL does,
+        # and reaches to the last image suffix in it: at most one in each URL.
+        images = F.array_remove(
+            F.transform(urls, lambda url: F.regexp_extract(url, _IMAGE_URL, 0)), ""
+        )
+        chosen = F.array(F.array_join(images, ", "), F.array_join(urls, ", "))
+        return F.get(F.array_remove(chosen, ""), F.lit(0))
+
+    # The lambda names the URLs, so that the text is searched once.
+    found = F.array(F.regexp_extract_all(text, F.lit(_URL), F.lit(0)))
+    # Most text holds no URL, which one substring search finds out.
+    links = F.when(
+        F.contains(text, F.lit("://")), F.transform(found, listed)[0]
     )
-    return F.coalesce(found, F.lit(NO_LINKS))
+    return F.coalesce(links, F.lit(NO_LINKS))
 
 
 def post_type(url: Column) -> Column:

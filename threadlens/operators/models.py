@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.prompts import INSTRUCTIONS
-from threadlens.schemas import REPLIES
+from threadlens.schemas import REPLIES, STORED_REPLIES
 from threadlens.storage import stored, table_or_empty
 
 # Three tries, 4 to 10 seconds apart, on these errors only.
@@ -64,7 +64,8 @@ class FunctionModel:
     Prompts go out `batch_size` at a time. `partitions` sets how many tasks call
     the model at once; without it they follow the input. Replies are stored
     before anything reads them, so each action downstream reuses them. With
-    `folder` they are kept there and a later run asks only for what is missing.
+    `folder` they are kept there by `batch`, and only those prompts are asked that
+    have no reply yet in this batch or in one of `earlier` (first and last).
 
     Spark repeats a lost task and with it the task's calls; leave
     `spark.speculation` off, which would repeat calls for slow tasks too.
@@ -78,6 +79,8 @@ class FunctionModel:
     wait: tuple[float, float] = WAIT_SECONDS
     sleep: Callable[[float], None] = time.sleep
     folder: str | None = None
+    batch: int = 0
+    earlier: tuple[int, int] = (0, -1)
     reads_prompts = True
 
     def attach(
@@ -94,13 +97,16 @@ class FunctionModel:
     def _replies(self, prompts: DataFrame, stage: str) -> DataFrame:
         if self.folder is None:
             return stored(self._asked(prompts, stage), f"replies-{stage}")
-        path = f"{self.folder}/stage={stage}"
-        known = table_or_empty(prompts.sparkSession, path, REPLIES)
+        spark, path = prompts.sparkSession, f"{self.folder}/stage={stage}"
+        mine = (F.col("batch") == self.batch) | F.col("batch").between(*self.earlier)
+        known = table_or_empty(spark, path, STORED_REPLIES).filter(mine)
         missing = prompts.join(
             known.select("post_id", "round"), ["post_id", "round"], "left_anti"
         )
-        self._asked(missing, stage).write.mode("append").parquet(path)
-        return prompts.sparkSession.read.schema(REPLIES).parquet(path)
+        self._asked(missing, stage).write.mode("append").parquet(
+            f"{path}/batch={self.batch}"
+        )
+        return spark.read.schema(STORED_REPLIES).parquet(path).filter(mine).drop("batch")
 
     def _asked(self, prompts: DataFrame, stage: str) -> DataFrame:
         if self.partitions:

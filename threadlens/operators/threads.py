@@ -3,12 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.storage import stored
+from threadlens.storage import fits_broadcast, key_side, stored
 
 # A prompt is one value and has to fit one row. Far above what a model takes.
 MAX_THREAD_BYTES = 64 * 1024 * 1024
 _USUAL_BODY = 64 * 1024
-_BROADCAST_ROWS = 100_000
 
 
 def thread_parts(comments: DataFrame, max_bytes: int = MAX_THREAD_BYTES) -> DataFrame:
@@ -31,7 +30,7 @@ def thread_parts(comments: DataFrame, max_bytes: int = MAX_THREAD_BYTES) -> Data
         )
     part = F.floor((F.col("seq") - 1) / F.col("per_part"))
     return (
-        comments.join(_small(long), "post_id", "left")
+        comments.join(key_side(long), "post_id", "left")
         .select(
             "post_id",
             F.coalesce(part, F.lit(0)).cast("long").alias("part"),
@@ -65,13 +64,21 @@ def threads_for_prompts(
 
     `body_text` is null where the thread is too long for one prompt.
     """
+    wanted = stored(posts.select("post_id"), "wanted-threads")
     long = _long_threads(comments, max_bytes)
-    wanted = comments.join(posts.select("post_id"), "post_id", "left_semi")
+    short = comments
+    if long is not None:
+        # Leaves the hot posts out before anything is shuffled.
+        short = comments.join(key_side(long), "post_id", "left_anti")
+    few = fits_broadcast(wanted)
+    side = F.broadcast(wanted) if few else wanted
+    texts = _whole_threads(short.join(side, "post_id", "left_semi"), shuffled=not few)
     if long is None:
-        return _whole_threads(wanted)
-    short = wanted.join(_small(long), "post_id", "left_anti")
-    return _whole_threads(short).unionByName(
-        long.select("post_id", F.lit(None).cast("string").alias("body_text"))
+        return texts
+    return texts.unionByName(
+        long.join(wanted, "post_id", "left_semi").select(
+            "post_id", F.lit(None).cast("string").alias("body_text")
+        )
     )
 
 
@@ -80,15 +87,13 @@ def _bodies() -> Column:
     return F.array_join(F.transform(rows, lambda row: row["body"]), "\n")
 
 
-def _whole_threads(comments: DataFrame) -> DataFrame:
-    # Gathering shrinks nothing, so combining in the map tasks would be in vain:
-    # the explicit shuffle by key leaves it out.
-    return (
-        comments.select("post_id", "seq", "body")
-        .repartition("post_id")
-        .groupBy("post_id")
-        .agg(_bodies().alias("body_text"))
-    )
+def _whole_threads(comments: DataFrame, shuffled: bool = False) -> DataFrame:
+    rows = comments.select("post_id", "seq", "body")
+    if not shuffled:
+        # Gathering shrinks nothing, so combining in the map tasks would be in
+        # vain: the explicit shuffle by key leaves it out.
+        rows = rows.repartition("post_id")
+    return rows.groupBy("post_id").agg(_bodies().alias("body_text"))
 
 
 def _long_threads(comments: DataFrame, max_bytes: int) -> DataFrame | None:
@@ -105,7 +110,7 @@ def _long_threads(comments: DataFrame, max_bytes: int) -> DataFrame | None:
     deep = stored(deep.distinct(), "deep-threads")
     size = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long") + 1
     sizes = comments.select("post_id", size.alias("size")).join(
-        _small(deep), "post_id", "left_semi"
+        key_side(deep), "post_id", "left_semi"
     )
     per_part = F.greatest(F.floor(F.lit(max_bytes) / F.max("size")), F.lit(1))
     long = stored(
@@ -116,11 +121,3 @@ def _long_threads(comments: DataFrame, max_bytes: int) -> DataFrame | None:
         "long-threads",
     )
     return None if long.isEmpty() else long
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    """A stored table, broadcast if its size allows; else a plain join side.
-
-    In a plain join adaptive execution splits the partitions of hot posts.
-    """
-    return F.broadcast(keys) if keys.count() <= _BROADCAST_ROWS else keys

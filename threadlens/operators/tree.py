@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from threadlens.operators.ranking import number_within
-from threadlens.storage import stored
+from threadlens.storage import key_side, stored
 
 _LARGE_THREAD = 1_000_000
 
@@ -28,7 +28,7 @@ def flatten(comments: DataFrame, large_thread: int = _LARGE_THREAD) -> DataFrame
     large = sizes.filter(F.col("n") > large_thread).select("post_id")
     if large.isEmpty():
         return _numbered(placed, order)
-    large = stored(large, "large-threads")
+    large = key_side(stored(large, "large-threads"))
     rest = _numbered(placed.join(large, "post_id", "left_anti"), order)
     spread = number_within(
         placed.join(large, "post_id", "left_semi"), ["post_id"], order, "seq"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.text import extract_links, normalize_ascii, post_type
 from threadlens.operators.ranking import top_per_community
 from threadlens.operators.tree import flatten
+from threadlens.storage import fits_broadcast, stored
 
 
 def ingest_posts(
@@ -39,15 +40,21 @@ def ingest_posts(
 def ingest_comments(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """Comments of the given posts, text normalised, each with its place `seq`.
 
-    The tree is walked on ids alone; texts join its result once. `posts` is read
-    while the walk starts: hand in a stored table rather than a dear plan.
+    The tree is walked on ids alone; texts join its result once, and are not
+    shuffled for it where only few comments are wanted. `posts` is read while the
+    walk starts: hand in a stored table rather than a dear plan.
     """
     named = comments.withColumnRenamed("id", "comment_id")
-    ids = named.select("post_id", "comment_id", "parent_id", "pos")
-    listing = flatten(ids.join(posts.select("post_id"), "post_id", "left_semi"))
-    return named.join(
-        listing.select("post_id", "comment_id", "seq"), ["post_id", "comment_id"]
-    ).select(
+    ids = stored(
+        named.select("post_id", "comment_id", "parent_id", "pos").join(
+            posts.select("post_id"), "post_id", "left_semi"
+        ),
+        "wanted-comments",
+    )
+    listing = flatten(ids).select("post_id", "comment_id", "seq")
+    if fits_broadcast(ids):
+        listing = F.broadcast(listing)
+    return named.join(listing, ["post_id", "comment_id"]    ).select(
         "post_id",
         "comment_id",
         normalize_ascii(F.col("body")).alias("body"),

@@ -96,6 +96,11 @@ REPLIES = T.StructType(
     ]
 )
 
+_PLACE = [T.StructField("run", T.IntegerType()), T.StructField("batch", T.LongType())]
+STORED_OUTCOMES = T.StructType([*OUTCOMES.fields, *_PLACE])
+STORED_REPLIES = T.StructType([*REPLIES.fields, _PLACE[1]])
+RUNS = T.StructType([_PLACE[0]])
+
 # The column titles of the exchanged CSV files, in file order.
 POSTS_CSV_HEADER = {
     "post_id": "Post ID",

@@ -5,8 +5,12 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# Up to so many keys (an id and a number at most) are sent to every executor.
+BROADCAST_KEYS = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names for checkpoints.
@@ -50,3 +54,17 @@ def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFr
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def fits_broadcast(keys: DataFrame) -> bool:
+    """Whether a stored table of keys is small enough for a broadcast."""
+    return keys.count() <= BROADCAST_KEYS
+
+
+def key_side(keys: DataFrame) -> DataFrame:
+    """A stored table of keys as a join side: broadcast if its size allows.
+
+    Otherwise the join is planned as any other, and adaptive execution splits
+    its skewed partitions.
+    """
+    return F.broadcast(keys) if fits_broadcast(keys) else keys

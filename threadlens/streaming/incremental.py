@@ -14,27 +14,15 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadlens.operators.models import FunctionModel
 from threadlens.operators.progress import observed, pending
 from threadlens.plans.condense import Backend, condense_outcomes, successes
-from threadlens.schemas import OUTCOMES
+from threadlens.schemas import RUNS, STORED_OUTCOMES, STORED_REPLIES
 from threadlens.storage import new_folder, stored, table_or_empty
 
 log = logging.getLogger(__name__)
 
-_LEDGER = T.StructType(
-    [
-        *OUTCOMES.fields,
-        T.StructField("run", T.IntegerType()),
-        T.StructField("batch", T.LongType()),
-    ]
-)
-
-_RUNS = T.StructType([T.StructField("run", T.IntegerType())])
-
-
 def condense_incremental(
     posts: DataFrame,
     comments: DataFrame,
@@ -55,12 +43,17 @@ def condense_incremental(
     """
     spark = posts.sparkSession
     run = _begin(spark, out, fresh)
+    first = _latest_batch(_all_outcomes(spark, out).filter(F.col("run") == run)) + 1
+    if isinstance(backend, FunctionModel):
+        # Replies of batches after the last finished one stem from a run cut short.
+        folder = f"{out}/replies/run={run}"
+        last = _latest_batch(table_or_empty(spark, folder, STORED_REPLIES))
+        backend = replace(backend, folder=folder, earlier=(first, last))
 
-    if posts.isStreaming:
-
-        def step(batch: DataFrame, number: int) -> None:
-            _condense_batch(batch, comments, backend, out, run, number, retry_failed)
+    def step(batch: DataFrame, number: int) -> None:
+        _condense_batch(batch, comments, backend, out, run, number, retry_failed)
 
+    if posts.isStreaming:
         query = (
             posts.writeStream.foreachBatch(step)
             .option("checkpointLocation", f"{out}/_progress/run={run}")
@@ -69,9 +62,8 @@ def condense_incremental(
         )
         query.awaitTermination()
     else:
-        first = _next_batch(spark, out, run)
         for number, chunk in enumerate(_chunks(posts, chunk_rows), first):
-            _condense_batch(chunk, comments, backend, out, run, number, retry_failed)
+            step(chunk, number)
     return results(spark, out, run)
 
 
@@ -119,12 +111,14 @@ def _condense_batch(
 ) -> None:
     spark = posts.sparkSession
     known = ledger(spark, out, run)
+    repeated = posts.groupBy("post_id").count().filter(F.col("count") > 1)
+    if not repeated.isEmpty():
+        # Moves whole posts, the test before it only ids.
+        posts = posts.dropDuplicates(["post_id"])
     # Stored, as every stage below starts from it.
-    todo = stored(
-        _with_rounds(posts.dropDuplicates(["post_id"]), known, retry_failed), "todo"
-    )
+    todo = stored(_with_rounds(posts, known, retry_failed), "todo")
     if isinstance(backend, FunctionModel):
-        backend = replace(backend, folder=f"{out}/replies/run={run}")
+        backend = replace(backend, batch=batch)
     rows, counter = observed(
         condense_outcomes(todo, comments, backend), f"condense-{run}-{batch}"
     )
@@ -139,7 +133,7 @@ def _with_rounds(posts: DataFrame, known: DataFrame, retry_failed: bool) -> Data
     restarted retry does not.
     """
     if not retry_failed:
-        return pending(posts, known).withColumn("round", F.lit(0))
+        return pending(posts, known)
     failures = (
         known.filter(F.col("status") == "failed")
         .groupBy("post_id")
@@ -167,11 +161,11 @@ def _chunks(posts: DataFrame, chunk_rows: int | None) -> list[DataFrame]:
 
 
 def _all_outcomes(spark: SparkSession, out: str) -> DataFrame:
-    return table_or_empty(spark, f"{out}/outcomes", _LEDGER)
+    return table_or_empty(spark, f"{out}/outcomes", STORED_OUTCOMES)
 
 
 def _latest_run(spark: SparkSession, out: str) -> int | None:
-    return table_or_empty(spark, f"{out}/runs", _RUNS).agg(F.max("run")).first()[0]
+    return table_or_empty(spark, f"{out}/runs", RUNS).agg(F.max("run")).first()[0]
 
 
 def _begin(spark: SparkSession, out: str, fresh: bool) -> int:
@@ -180,11 +174,10 @@ def _begin(spark: SparkSession, out: str, fresh: bool) -> int:
     if latest is not None and not fresh:
         return latest
     run = 0 if latest is None else latest + 1
-    spark.createDataFrame([(run,)], _RUNS).write.mode("append").parquet(f"{out}/runs")
+    spark.createDataFrame([(run,)], RUNS).write.mode("append").parquet(f"{out}/runs")
     return run
 
 
-def _next_batch(spark: SparkSession, out: str, run: int) -> int:
-    done = _all_outcomes(spark, out).filter(F.col("run") == run)
-    latest = done.agg(F.max("batch")).first()[0]
-    return 0 if latest is None else latest + 1
+def _latest_batch(rows: DataFrame) -> int:
+    latest = rows.agg(F.max("batch")).first()[0]
+    return -1 if latest is None else latest
