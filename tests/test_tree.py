@@ -70,9 +70,9 @@ def test_parent_cycles_end_and_keep_their_comments(spark):
     ]
     assert listed(spark, rows) == {
         ("p", "top"): (0, 1),
-        ("p", "x"): (None, 2),
-        ("p", "y"): (None, 3),
-        ("p", "below"): (None, 4),
+        ("p", "below"): (None, 2),
+        ("p", "x"): (None, 3),
+        ("p", "y"): (None, 4),
     }
 
 

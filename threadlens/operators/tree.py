@@ -16,9 +16,9 @@ def flatten(comments: DataFrame, large_thread: int = _LARGE_THREAD) -> DataFrame
 
     Takes `post_id, comment_id, parent_id, pos` and returns `post_id,
     comment_id, depth, seq`. Top-level comments have no parent (or one that is
-    not in the data) and depth 0; siblings are ordered by `pos`, then id.
-    Comments on a parent cycle hang below no top-level comment: they are listed
-    last, with a null depth.
+    not in the data) and depth 0; siblings are ordered by `pos` (0 or more), then
+    id. Comments on a parent cycle hang below no top-level comment: they are
+    listed last, by id, with a null depth.
 
     Threads beyond `large_thread` comments are numbered over many tasks.
     """
@@ -42,20 +42,20 @@ def _numbered(placed: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def _paths(comments: DataFrame) -> DataFrame:
-    """Each comment with its depth and the steps from the top down to it.
+    """Each comment with its depth and the path from the top down to it.
 
     Every round doubles the steps a path covers: the path of the node `up`
     points to is put in front, and `up` moves on to where that node points. So a
     thread of depth d takes about log2(d) joins, not d. Only ids and positions
     take part, and finished comments are never written again.
     """
-    here = F.struct(F.col("pos"), F.col("comment_id"))
     nodes, left = _kept(
         comments.select(
             "post_id",
             "comment_id",
             F.col("parent_id").alias("up"),
-            F.array(here).alias("path"),
+            F.lit(0).cast("long").alias("depth"),
+            _step(F.col("pos"), F.col("comment_id")).alias("path"),
         )
     )
     finished = [nodes.filter(F.col("up").isNull())]
@@ -65,15 +65,20 @@ def _paths(comments: DataFrame) -> DataFrame:
             "post_id",
             F.col("comment_id").alias("up"),
             F.col("up").alias("above"),
+            F.col("depth").alias("steps"),
             F.col("path").alias("upper"),
         )
         # A missing parent gives nulls and thereby ends the climb.
+        orphan = F.col("upper").isNull()
         nodes, still = _kept(
             climbing.join(known, ["post_id", "up"], "left").select(
                 "post_id",
                 "comment_id",
                 F.col("above").alias("up"),
-                F.when(F.col("upper").isNull(), F.col("path"))
+                F.when(orphan, F.col("depth"))
+                .otherwise(F.col("depth") + F.col("steps") + 1)
+                .alias("depth"),
+                F.when(orphan, F.col("path"))
                 .otherwise(F.concat("upper", "path"))
                 .alias("path"),
             )
@@ -82,19 +87,27 @@ def _paths(comments: DataFrame) -> DataFrame:
         climbing = nodes.filter(F.col("up").isNotNull())
         if still == left:
             # Each round ends the climb of someone unless all are on a cycle.
+            circular = climbing.select(
+                "post_id",
+                "comment_id",
+                F.lit(None).cast("string").alias("up"),
+                F.lit(None).cast("long").alias("depth"),
+                F.col("comment_id").cast("binary").alias("path"),
+            )
+            finished.append(circular)
             break
         left = still
-    depth = (F.size("path") - 1).cast("long")
-    listed = reduce(DataFrame.unionByName, finished).withColumn("depth", depth)
-    if not left:
-        return listed.drop("up")
-    circular = climbing.select(
-        "post_id",
-        "comment_id",
-        F.lit(None).cast("long").alias("depth"),
-        F.slice("path", -1, 1).alias("path"),
-    )
-    return listed.drop("up").unionByName(circular)
+    return reduce(DataFrame.unionByName, finished).drop("up")
+
+
+def _step(pos: Column, comment_id: Column) -> Column:
+    """One step of a path, as bytes that sort like `(pos, comment_id)`.
+
+    Fixed-width position, id and a closing zero: strung together, paths sort like
+    the lists of their steps, at a fraction of the size of an array.
+    """
+    place = F.unhex(F.lpad(F.hex(pos), 16, "0"))
+    return F.concat(place, comment_id.cast("binary"), F.lit(b"\x00"))
 
 
 def _kept(nodes: DataFrame) -> tuple[DataFrame, int]:
