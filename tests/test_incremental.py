@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.prompts import INSTRUCTIONS
 from threadlens.operators.models import FunctionModel
+from threadlens.operators.progress import totals
 from threadlens.plans.condense import condense
 from threadlens.schemas import POSTS
 from threadlens.sources.dumps import stream_posts
@@ -126,7 +127,11 @@ def test_failed_posts_wait_for_a_retry(spark, tmp_path, batch_result):
     done = I.condense_incremental(posts, comments, make_model(log), out, retry_failed=True)
     assert rows(done) == batch_result[0]
     assert I.dead_letter(spark, out).count() == 0
-    assert I.ledger(spark, out).filter("status = 'ok'").count() == 20
+    done = {r["post_id"]: (r["status"], r["failures"]) for r in I.ledger(spark, out).collect()}
+    assert done.pop("p07") == ("ok", 2)
+    assert set(done.values()) == {("ok", 0)} and len(done) == 19
+    counts = totals(make_posts(spark, range(22)), I.ledger(spark, out)).first()
+    assert (counts["total_posts"], counts["processed"], counts["ok"], counts["pending"]) == (22, 20, 20, 2)
 
 
 def test_fresh_starts_over(spark, tmp_path, batch_result):
@@ -140,6 +145,6 @@ def test_fresh_starts_over(spark, tmp_path, batch_result):
 
 
 def test_pending_posts_are_found_by_anti_join(spark, tmp_path):
-    known = spark.createDataFrame([], "post_id string, status string, batch long")
+    known = spark.createDataFrame([], "post_id string, status string, failures int")
     todo = I._with_rounds(make_posts(spark, range(3)), known, False)
     assert "LeftAnti" in todo._jdf.queryExecution().analyzed().toString()

@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,22 +113,25 @@ class FunctionModel:
             prompts = prompts.repartition(self.partitions, "post_id")
         function, instruction = self.function, self.instructions[stage]
         size, tries, wait, sleep = self.batch_size, self.tries, self.wait, self.sleep
+        names, kinds = REPLIES.names, [pa.string(), pa.string(), pa.string(), pa.int32()]
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                texts, answers = frame["prompt"].tolist(), []
-                for start in range(0, len(texts), size):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                prompts, answers = rows.column("prompt").to_pylist(), []
+                for start in range(0, len(prompts), size):
                     answers += ask(
-                        lambda prompts: function(instruction, prompts),
-                        texts[start : start + size],
+                        lambda some: function(instruction, some),
+                        prompts[start : start + size],
                         tries,
                         wait,
                         sleep,
                     )
-                added = pd.DataFrame(answers, columns=_ADDED, index=frame.index)
-                yield frame[["post_id", "round"]].join(added)
+                keys = [rows.column("post_id"), rows.column("round")]
+                columns = zip(*answers) if answers else [()] * len(kinds)
+                added = [pa.array(list(v), kind) for v, kind in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays(keys + added, names=names)
 
-        return prompts.mapInPandas(run, REPLIES)
+        return prompts.mapInArrow(run, REPLIES)
 
 
 def ask(

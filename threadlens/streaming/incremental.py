@@ -79,8 +79,20 @@ def results(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
 
 
 def ledger(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
-    """`post_id, status, batch` of what is done; a retried post is in it again."""
-    return outcomes(spark, out, run).select("post_id", "status", "batch")
+    """One row per processed post: `post_id, status, failures`.
+
+    A post that failed and succeeded later is done; `failures` counts how often
+    it failed before.
+    """
+    failed = F.col("status") == "failed"
+    return (
+        outcomes(spark, out, run)
+        .groupBy("post_id")
+        .agg(
+            F.max_by("status", ~failed).alias("status"),
+            F.count_if(failed).cast("int").alias("failures"),
+        )
+    )
 
 
 def dead_letter(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
@@ -116,7 +128,8 @@ def _condense_batch(
         # Moves whole posts, the test before it only ids.
         posts = posts.dropDuplicates(["post_id"])
     # Stored, as every stage below starts from it.
-    todo = stored(_with_rounds(posts, known, retry_failed), "todo")
+    needed = posts.select("post_id", "title", "self_text", "created_utc")
+    todo = stored(_with_rounds(needed, known, retry_failed), "todo")
     if isinstance(backend, FunctionModel):
         backend = replace(backend, batch=batch)
     rows, counter = observed(
@@ -134,14 +147,10 @@ def _with_rounds(posts: DataFrame, known: DataFrame, retry_failed: bool) -> Data
     """
     if not retry_failed:
         return pending(posts, known)
-    failures = (
-        known.filter(F.col("status") == "failed")
-        .groupBy("post_id")
-        .agg(F.count("*").cast("int").alias("round"))
-    )
-    settled = known.filter(F.col("status") != "failed")
+    failed = F.col("status") == "failed"
+    failures = known.filter(failed).select("post_id", F.col("failures").alias("round"))
     return (
-        pending(posts, settled)
+        pending(posts, known.filter(~failed))
         .join(failures, "post_id", "left")
         .withColumn("round", F.coalesce("round", F.lit(0)))
     )
