@@ -119,3 +119,9 @@ def test_replay_needs_no_python(spark):
     plan = outcomes._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and "BatchEvalPython" not in plan
     assert {r["error"] for r in outcomes.collect()} == {"no reply known"}
+
+
+def test_copies_of_a_post_count_once(spark):
+    posts, comments = frames(spark)
+    results = condense(posts.union(posts), comments, FunctionModel(make_model()))
+    assert results.count() == 4

@@ -78,3 +78,10 @@ def test_parent_cycles_end_and_keep_their_comments(spark):
 
 def test_no_comments(spark):
     assert flatten(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_of_a_comment_count_once(spark):
+    rows = [("p", "a", None, 0), ("p", "b", "a", 0), ("p", "c", "b", 0)]
+    assert listed(spark, rows * 3) == walk(rows)
+    frame = spark.createDataFrame(rows * 3, SCHEMA)
+    assert flatten(frame).count() == 3

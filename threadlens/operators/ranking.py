@@ -90,5 +90,5 @@ def _top_by_number(posts: DataFrame, group: list[str], limit: int) -> DataFrame:
     # Only ids and scores are sorted; the wide rows are joined back by id.
     ids = posts.select(*group, "upvotes", "post_id")
     places = number_within(ids, group, best_first(), "_place")
-    kept = places.filter(F.col("_place") <= limit).select("post_id")
-    return posts.join(kept, "post_id", "left_semi")
+    kept = places.filter(F.col("_place") <= limit).select(*group, "post_id")
+    return posts.join(kept, [*group, "post_id"], "left_semi")

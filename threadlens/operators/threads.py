@@ -62,9 +62,10 @@ def threads_for_prompts(
 ) -> DataFrame:
     """One row per given post with comments: `post_id, body_text`.
 
-    `body_text` is null where the thread is too long for one prompt.
+    `body_text` is null where the thread is too long for one prompt. `posts` is
+    counted first: hand in a stored table.
     """
-    wanted = stored(posts.select("post_id"), "wanted-threads")
+    wanted = posts.select("post_id")
     long = _long_threads(comments, max_bytes)
     short = comments
     if long is not None:

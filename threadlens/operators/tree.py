@@ -15,25 +15,32 @@ def flatten(comments: DataFrame, large_thread: int = _LARGE_THREAD) -> DataFrame
     """List the comments of each post level by level.
 
     Takes `post_id, comment_id, parent_id, pos` and returns `post_id,
-    comment_id, depth, seq`. Top-level comments have no parent (or one that is
+    comment_id, depth, seq`, each comment once. Top-level comments have no parent (or one that is
     not in the data) and depth 0; siblings are ordered by `pos` (0 or more), then
     id. Comments on a parent cycle hang below no top-level comment: they are
     listed last, by id, with a null depth.
 
     Threads beyond `large_thread` comments are numbered over many tasks.
     """
-    placed = _paths(comments)
+    return listed(comments, large_thread)[0]
+
+
+def listed(
+    comments: DataFrame, large_thread: int = _LARGE_THREAD
+) -> tuple[DataFrame, int]:
+    """`flatten`, and the number of comments in its result."""
+    placed, found = _paths(comments)
     order = [F.col("depth").asc_nulls_last(), F.col("path")]
     sizes = placed.groupBy("post_id").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > large_thread).select("post_id")
     if large.isEmpty():
-        return _numbered(placed, order)
+        return _numbered(placed, order), found
     large = key_side(stored(large, "large-threads"))
     rest = _numbered(placed.join(large, "post_id", "left_anti"), order)
     spread = number_within(
         placed.join(large, "post_id", "left_semi"), ["post_id"], order, "seq"
     ).drop("path")
-    return rest.unionByName(spread)
+    return rest.unionByName(spread), found
 
 
 def _numbered(placed: DataFrame, order: list[Column]) -> DataFrame:
@@ -41,7 +48,7 @@ def _numbered(placed: DataFrame, order: list[Column]) -> DataFrame:
     return placed.withColumn("seq", seq.cast("long")).drop("path")
 
 
-def _paths(comments: DataFrame) -> DataFrame:
+def _paths(comments: DataFrame) -> tuple[DataFrame, int]:
     """Each comment with its depth and the path from the top down to it.
 
     Every round doubles the steps a path covers: the path of the node `up`
@@ -49,13 +56,17 @@ def _paths(comments: DataFrame) -> DataFrame:
     thread of depth d takes about log2(d) joins, not d. Only ids and positions
     take part, and finished comments are never written again.
     """
-    nodes, left = _kept(
-        comments.select(
+    # Copies of a comment would multiply along its replies.
+    place = F.min(F.struct("parent_id", "pos")).alias("place")
+    nodes, found, left = _kept(
+        comments.groupBy("post_id", "comment_id")
+        .agg(place)
+        .select(
             "post_id",
             "comment_id",
-            F.col("parent_id").alias("up"),
+            F.col("place.parent_id").alias("up"),
             F.lit(0).cast("long").alias("depth"),
-            _step(F.col("pos"), F.col("comment_id")).alias("path"),
+            _step(F.col("place.pos"), F.col("comment_id")).alias("path"),
         )
     )
     finished = [nodes.filter(F.col("up").isNull())]
@@ -70,7 +81,7 @@ def _paths(comments: DataFrame) -> DataFrame:
         )
         # A missing parent gives nulls and thereby ends the climb.
         orphan = F.col("upper").isNull()
-        nodes, still = _kept(
+        nodes, _, still = _kept(
             climbing.join(known, ["post_id", "up"], "left").select(
                 "post_id",
                 "comment_id",
@@ -97,7 +108,7 @@ def _paths(comments: DataFrame) -> DataFrame:
             finished.append(circular)
             break
         left = still
-    return reduce(DataFrame.unionByName, finished).drop("up")
+    return reduce(DataFrame.unionByName, finished).drop("up"), found
 
 
 def _step(pos: Column, comment_id: Column) -> Column:
@@ -106,12 +117,16 @@ def _step(pos: Column, comment_id: Column) -> Column:
     Fixed-width position, id and a closing zero: strung together, paths sort like
     the lists of their steps, at a fraction of the size of an array.
     """
-    place = F.unhex(F.lpad(F.hex(pos), 16, "0"))
+    place = F.unhex(F.lpad(F.hex(F.coalesce(pos, F.lit(0))), 16, "0"))
     return F.concat(place, comment_id.cast("binary"), F.lit(b"\x00"))
 
 
-def _kept(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """The nodes as a written table, and how many still have to climb."""
+def _kept(nodes: DataFrame) -> tuple[DataFrame, int, int]:
+    """The nodes as a written table, how many, and how many still have to climb."""
     counter = Observation()
-    counted = nodes.observe(counter, F.count_if(F.col("up").isNotNull()).alias("left"))
-    return stored(counted, "nodes"), counter.get["left"]
+    counted = nodes.observe(
+        counter,
+        F.count("*").alias("all"),
+        F.count_if(F.col("up").isNotNull()).alias("left"),
+    )
+    return stored(counted, "nodes"), counter.get["all"], counter.get["left"]

@@ -13,6 +13,7 @@ from threadlens.operators.decision import decide
 from threadlens.operators.models import FunctionModel, Replay
 from threadlens.operators.threads import threads_for_prompts
 from threadlens.schemas import CONDENSED, OUTCOMES
+from threadlens.storage import stored
 
 Backend = FunctionModel | Replay
 
@@ -35,11 +36,25 @@ def condense_outcomes(
     fails the post; a failed answer leaves it with the default answer. `stage`,
     `error` and `attempts` tell of the stage that failed, or of the last one.
     """
+    return outcomes_of_distinct(each_once(posts), comments, backend)
+
+
+def each_once(posts: DataFrame) -> DataFrame:
+    """One row per post. Whole posts are only moved if some are repeated."""
+    repeated = posts.groupBy("post_id").count().filter(F.col("count") > 1)
+    return posts if repeated.isEmpty() else posts.dropDuplicates(["post_id"])
+
+
+def outcomes_of_distinct(
+    posts: DataFrame, comments: DataFrame, backend: Backend
+) -> DataFrame:
+    """`condense_outcomes` for posts known to be there once."""
     rows = with_round(posts).withColumn("created_time", F.col("created_utc"))
-    rows = _analysed(rows, backend)
-    rows = _generalised(rows, backend)
-    rows = _answered(rows, comments, backend)
-    return rows.select(*OUTCOMES.names)
+    rows = _generalised(_analysed(rows, backend), backend)
+    if backend.reads_prompts:
+        # Two more things start from here, and the joins above are behind us.
+        rows = stored(rows, "issues")
+    return _answered(rows, comments, backend).select(*OUTCOMES.names)
 
 
 def with_round(posts: DataFrame) -> DataFrame:

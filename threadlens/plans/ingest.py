@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.text import extract_links, normalize_ascii, post_type
 from threadlens.operators.ranking import top_per_community
-from threadlens.operators.tree import flatten
-from threadlens.storage import fits_broadcast, stored
+from threadlens.operators.tree import listed
+from threadlens.storage import BROADCAST_KEYS, stored
 
 
 def ingest_posts(
@@ -51,9 +51,12 @@ def ingest_comments(comments: DataFrame, posts: DataFrame) -> DataFrame:
         ),
         "wanted-comments",
     )
-    listing = flatten(ids).select("post_id", "comment_id", "seq")
-    if fits_broadcast(ids):
+    listing, found = listed(ids)
+    listing = listing.select("post_id", "comment_id", "seq")
+    if found <= BROADCAST_KEYS:
         listing = F.broadcast(listing)
+    if found < ids.count():
+        named = named.dropDuplicates(["post_id", "comment_id"])
     return named.join(listing, ["post_id", "comment_id"]    ).select(
         "post_id",
         "comment_id",

@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from threadlens.operators.models import FunctionModel
 from threadlens.operators.progress import observed, pending
-from threadlens.plans.condense import Backend, condense_outcomes, successes
+from threadlens.plans.condense import (
+    Backend,
+    each_once,
+    outcomes_of_distinct,
+    successes,
+)
 from threadlens.schemas import RUNS, STORED_OUTCOMES, STORED_REPLIES
 from threadlens.storage import new_folder, stored, table_or_empty
 
@@ -123,17 +128,13 @@ def _condense_batch(
 ) -> None:
     spark = posts.sparkSession
     known = ledger(spark, out, run)
-    repeated = posts.groupBy("post_id").count().filter(F.col("count") > 1)
-    if not repeated.isEmpty():
-        # Moves whole posts, the test before it only ids.
-        posts = posts.dropDuplicates(["post_id"])
     # Stored, as every stage below starts from it.
-    needed = posts.select("post_id", "title", "self_text", "created_utc")
+    needed = each_once(posts).select("post_id", "title", "self_text", "created_utc")
     todo = stored(_with_rounds(needed, known, retry_failed), "todo")
     if isinstance(backend, FunctionModel):
         backend = replace(backend, batch=batch)
     rows, counter = observed(
-        condense_outcomes(todo, comments, backend), f"condense-{run}-{batch}"
+        outcomes_of_distinct(todo, comments, backend), f"condense-{run}-{batch}"
     )
     rows.write.mode("append").parquet(f"{out}/outcomes/run={run}/batch={batch}")
     log.info("run %s, batch %s: %s", run, batch, counter.get)
