@@ -91,6 +91,14 @@ def test_condensed_export(spark, tmp_path):
         assert rows(read) == data
 
 
+def test_condensed_export_by_community(spark, tmp_path):
+    posts, _ = frames(spark)
+    data = [(p, 1.0, "u", "d", "Low", "-999", "a", "s", 0.5) for p in ("1", "2", "007")]
+    write_condensed(spark.createDataFrame(data, CONDENSED), f"{tmp_path}/c", posts)
+    read = spark.read.schema(CONDENSED).options(**READ_OPTIONS).csv(f"{tmp_path}/c/community=help")
+    assert rows(read.select(*CONDENSED.names)) == sorted((data[0], data[2]), key=str)
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     frame = spark.range(5).withColumn("x", F.col("id") * 2)

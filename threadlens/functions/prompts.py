@@ -42,34 +42,44 @@ INSTRUCTIONS = {
 }
 
 
+# The labels of the three prompts and what stands for absent text.
+TITLE = "Title: "
+CONTENT = "\n\nContent: "
+SPECIFIC = "Specific complaint: "
+REQUEST = "\nProvide a more general version:"
+COMPLAINT = "User Complaint: "
+DIAGNOSIS = "\nDiagnosis: "
+COMMENTS = "\nComments: "
+ABSENT = "None"
+
+
 def _shown(text: Column) -> Column:
-    # Fixed value: an absent text reads "None" inside a prompt.
-    return F.coalesce(text, F.lit("None"))
+    return F.coalesce(text, F.lit(ABSENT))
 
 
 def analysis_prompt(title: Column, self_text: Column) -> Column:
     return F.concat(
-        F.lit("Title: "),
+        F.lit(TITLE),
         _shown(normalize_text(title)),
-        F.lit("\n\nContent: "),
+        F.lit(CONTENT),
         _shown(normalize_text(self_text)),
     )
 
 
 def generalize_prompt(complaint: Column) -> Column:
     return F.concat(
-        F.lit("Specific complaint: "),
+        F.lit(SPECIFIC),
         _shown(complaint),
-        F.lit("\nProvide a more general version:"),
+        F.lit(REQUEST),
     )
 
 
 def answer_prompt(complaint: Column, diagnosis: Column, comments: Column) -> Column:
     return F.concat(
-        F.lit("User Complaint: "),
+        F.lit(COMPLAINT),
         _shown(complaint),
-        F.lit("\nDiagnosis: "),
+        F.lit(DIAGNOSIS),
         _shown(diagnosis),
-        F.lit("\nComments: "),
+        F.lit(COMMENTS),
         comments,
     )

@@ -31,9 +31,19 @@ def write_threads(
         _write_both(stored_posts, stored_comments, f"{base}_backup", "overwrite")
 
 
-def write_condensed(results: DataFrame, path: str) -> None:
-    """The result table as CSV; an empty one still has its header."""
-    results.write.mode("overwrite").options(**WRITE_OPTIONS).csv(path)
+def write_condensed(
+    results: DataFrame, path: str, posts: DataFrame | None = None
+) -> None:
+    """The result table as CSV; an empty one still has its header.
+
+    With `posts` it goes into one folder per community.
+    """
+    if posts is None:
+        results.write.mode("overwrite").options(**WRITE_OPTIONS).csv(path)
+    else:
+        homes = posts.select("post_id", "community")
+        columns = {name: name for name in results.columns}
+        _write(results.join(homes, "post_id"), columns, path, "overwrite")
 
 
 def _write_both(
