@@ -33,7 +33,7 @@ def listed(
     order = [F.col("depth").asc_nulls_last(), F.col("path")]
     sizes = placed.groupBy("post_id").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > large_thread).select("post_id")
-    if large.isEmpty():
+    if found <= large_thread or large.isEmpty():
         return _numbered(placed, order), found
     large = key_side(stored(large, "large-threads"))
     rest = _numbered(placed.join(large, "post_id", "left_anti"), order)
