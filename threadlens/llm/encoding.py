@@ -18,11 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Chunks a worker remembers (about 150 bytes each); it starts anew beyond.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 # Longer chunks are encoded but not remembered.
 LONGEST_KEPT = 64
+# So many chunks are given to the tokenizer at once.
+ASKED = 1_000
 # Texts are handled in runs of about so many bytes (a longer one alone).
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 
 _SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RUNS = rf"[{_SPACE}][{_SPACE}]|^[{_SPACE}]|[{_SPACE}]$|\x00|[^ \nA-Za-z0-9\P{{Z}}]|[\t\x0b\f\r\x1c-\x1f\x{{85}}]"
@@ -65,10 +67,12 @@ class ChunkEncoder:
             }
             ask = {part for parts in split.values() for part in parts if part not in known}
             ask = [*ask.union(new.keys() - split.keys())]
-            ids = {
-                x: np.array(e.ids, "<u4").tobytes()
-                for x, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False))
-            }
+            ids = {}
+            # The library's results are large: a few at a time.
+            for at in range(0, len(ask), ASKED):
+                part = ask[at : at + ASKED]
+                for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    ids[x] = np.array(e.ids, "<u4").tobytes()
             for x, (head, tail) in split.items():
                 ids[x] = (known.get(head) or ids[head]) + (known.get(tail) or ids[tail])
             for x, i in new.items():

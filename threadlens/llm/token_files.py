@@ -1,7 +1,8 @@
 """Token ids in raw shards with a keyed index (operator 6).
 
 A shard is two files: `.ids`, the ids of its documents one after another as
-little-endian unsigned 32-bit integers, and `.idx`, which leads from a document key
+little-endian unsigned integers (of 16 bits where the vocabulary allows it, else of
+32), and `.idx`, which leads from a document key
 to its place. The index is a minimal perfect hash: a chain of bit levels in which
 every key owns one set bit, whose number among all set bits is the key's slot. The
 slot holds a fingerprint, by which foreign keys are turned away, and the rows of
@@ -89,11 +90,12 @@ class PerfectHash:
         return out
 
 
-def index_bytes(keys: np.ndarray, has_key: np.ndarray, ends: np.ndarray) -> bytes:
+def index_bytes(keys: np.ndarray, has_key: np.ndarray, ends: np.ndarray, width: int) -> bytes:
     """The `.idx` file of a shard.
 
     `keys` ascend, equal ones adjacent; rows without a key come first and are found
-    by row number only. `ends`: where each row's ids end in the payload.
+    by row number only. `ends`: where each row's ids end in the payload, whose ids
+    take `width` bytes each.
     """
     known = keys[has_key].view(np.uint64)
     first = int((~has_key).sum())
@@ -102,7 +104,7 @@ def index_bytes(keys: np.ndarray, has_key: np.ndarray, ends: np.ndarray) -> byte
     slots = table.slots(different)
     order = np.empty(len(slots), np.int64)
     order[slots] = np.arange(len(slots))
-    head = {"keys": len(different), "rows": len(keys), "no_key": first, "levels": [len(x) for x in table.levels]}
+    head = {"width": width, "keys": len(different), "rows": len(keys), "no_key": first, "levels": [len(x) for x in table.levels]}
     text = json.dumps(head).encode()
     return b"".join(
         [
@@ -127,7 +129,7 @@ class ShardIndex:
             raise ValueError("not an index file")
         size = int.from_bytes(data[8:12], "little")
         head, at = json.loads(data[12 : 12 + size]), 12 + size
-        self.rows, self.no_key = head["rows"], head["no_key"]
+        self.rows, self.no_key, self.kind = head["rows"], head["no_key"], f"<u{head['width']}"
         levels = []
         for bits in head["levels"]:
             packed = np.frombuffer(data, np.uint8, (bits + 7) // 8, at)
@@ -159,6 +161,8 @@ def _writer(folder: str, file: str, end_id: int) -> Callable[[Iterator[pa.Record
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         part, seq = TaskContext.get().partitionId(), 0
+        top = max(encoder(file).tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id)
+        kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         keys, has, lengths, out, path = [], [], [], None, ""
 
         def close() -> pa.RecordBatch:
@@ -167,7 +171,7 @@ def _writer(folder: str, file: str, end_id: int) -> Callable[[Iterator[pa.Record
             ends = np.cumsum(np.concatenate(lengths))
             key = np.concatenate(keys)
             with store.open_output_stream(f"{path}.idx") as index:
-                index.write(index_bytes(key, np.concatenate(has), ends))
+                index.write(index_bytes(key, np.concatenate(has), ends, kind.itemsize))
             row = {"part": part, "seq": seq, "first_key": int(key[0]), "n_docs": len(key), "n_ids": int(ends[-1]), "path": path}
             keys, has, lengths, out, seq = [], [], [], None, seq + 1
             return pa.RecordBatch.from_pylist([row], _arrow(MANIFEST))
@@ -189,7 +193,7 @@ def _writer(folder: str, file: str, end_id: int) -> Callable[[Iterator[pa.Record
                     stop = int(np.searchsorted(ends, before + SHARD_IDS - size, "right"))
                     stop = max(at + (docs == 0), min(stop, at + SHARD_DOCS - docs))
                     if stop > at:
-                        out.write(ids[before : ends[stop - 1]].tobytes())
+                        out.write(ids[before : ends[stop - 1]].astype(kind).tobytes())
                         piece = key.slice(at, stop - at)
                         keys.append(piece.fill_null(0).to_numpy(zero_copy_only=False))
                         has.append(piece.is_valid().to_numpy(zero_copy_only=False))
@@ -262,7 +266,8 @@ def lookup(store: fs.FileSystem, path: str, keys: np.ndarray) -> list[list[np.nd
         out = []
         for a, n in zip(first, count):
             spans = [(int(index.offsets[r]), int(index.offsets[r + 1])) for r in range(a, a + n)]
-            out.append([np.frombuffer(payload.read_at((b - a) * 4, a * 4), "<u4") for a, b in spans])
+            size = np.dtype(index.kind).itemsize
+            out.append([np.frombuffer(payload.read_at((b - a) * size, a * size), index.kind) for a, b in spans])
         return out
 
 
@@ -273,7 +278,7 @@ def _reader(scheme: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             with store.open_input_stream(f"{shard['path']}.idx") as f:
                 index = ShardIndex(f.read())
             with store.open_input_stream(f"{shard['path']}.ids") as f:
-                payload = f.read()
+                payload = np.frombuffer(f.read(), index.kind)
             # Every key is looked up by the hash; rows without one go by number.
             free = np.arange(index.no_key)
             first, count = index.find(np.unique(index.keys[index.no_key :]))
@@ -288,7 +293,7 @@ def _reader(scheme: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     pa.array(np.full(len(rows), shard["seq"], np.int32)),
                     pa.array(a),
                     pa.array(b - a),
-                    pa.array([zlib.crc32(payload[x * 4 : y * 4]) for x, y in zip(a, b)], pa.int64()),
+                    pa.array([zlib.crc32(payload[x:y].astype("<u4")) for x, y in zip(a, b)], pa.int64()),
                 ],
                 schema=_arrow(RECORD),
             )
