@@ -7,8 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from threadlens.llm.decontamination import contamination
+from threadlens.llm.language import identify_languages
 from threadlens.llm.packing import pack_documents
+from threadlens.llm.quality_classifier import score_quality
+from threadlens.llm.quality_rules import judge_rules
+from threadlens.llm.sql import OP4_SQL, OP10_SQL
+from threadlens.llm.token_counts import count_tokens
 from threadlens.llm.token_files import read_token_shards, write_token_shards
+from threadlens.llm.url_filter import judge_urls
 from threadlens.storage import new_folder
 
 
@@ -21,6 +28,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents."""
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the rule table."""
+    return judge_rules(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on all page URLs."""
+    return judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as id shards, read back by key."""
     folder = new_folder(spark, "tokens")
@@ -30,8 +54,30 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(manifest, folder)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_url_filters": op5_url_filters,
     "op6_token_files": op6_token_files,
+    "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op10_decontamination": OP10_SQL}
