@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.llm.decontamination import contamination
 from threadlens.llm.language import identify_languages
+from threadlens.llm.line_dedup import dedup_lines
 from threadlens.llm.packing import pack_documents
 from threadlens.llm.quality_classifier import score_quality
 from threadlens.llm.quality_rules import judge_rules
@@ -23,6 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of repeated passages."""
+    found = dedup_lines(_table(spark, sf_dir, "documents"), report=True)
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 ids."""
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -71,6 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
