@@ -161,7 +161,10 @@ def _compare(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 for a, b, own in zip(part["a"].to_pylist(), part["b"].to_pylist(), shingle_sets(run, words)):
                     if b is None:
                         # A centre, or another text under the same id.
-                        sets = [*sets, own] if a == centre else [own]
+                        if a != centre:
+                            sets = [own]
+                        elif not any(np.array_equal(own, x) for x in sets):
+                            sets = [*sets, own]
                         centre = a
                     else:
                         for other in sets:
@@ -215,9 +218,15 @@ def _with_components(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(entries: DataFrame, seed: int, percent: int) -> DataFrame:
-    """For each set the list centre of another component that it shares most lists with."""
+    """For each set the list centre of another component that it shares most lists with.
+
+    In the first round the centre has the list's shingle earliest, so least of its own
+    before it: in a family of edited copies that is one close to their origin. Later
+    rounds take others by chance.
+    """
     turn = F.pmod(F.col("tok"), F.lit(8))
-    place = F.struct(F.xxhash64("doc_id", turn, F.lit(seed)).alias("o"), "doc_id", "n", "pos", "comp")
+    order = F.xxhash64("doc_id", turn, F.lit(seed)) if seed else F.struct("pos", F.xxhash64("doc_id"))
+    place = F.struct(order.alias("o"), "doc_id", "n", "pos", "comp")
     lists = entries.groupBy("tok").agg(F.min(place).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     lists = lists.where("lo != hi").select(
         "tok", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.comp").alias("ccomp")
@@ -228,31 +237,33 @@ def _star_pairs(entries: DataFrame, seed: int, percent: int) -> DataFrame:
     return best.select(F.col("m.centre").alias("a"), F.col("doc_id").alias("b"))
 
 
-def _last_pairs(entries: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+def _last_pairs(entries: DataFrame, stars: list[DataFrame], percent: int) -> DataFrame:
     """All pairs of different components that may still link."""
-    known = stars.groupBy(F.col("b").alias("doc_id")).agg(F.max(F.struct("same", "a")).alias("_s"))
-    known = known.select("doc_id", F.col("_s.a").alias("star"), F.col("_s.same").alias("same"))
     sizes = entries.groupBy("tok", "comp").agg(F.count("*").alias("k"))
     lists = sizes.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = stored(
-        entries.join(lists.select("tok", F.col("m.comp").alias("major")), "tok").join(known, "doc_id", "left"), "open_lists"
-    )
+    open_ = entries.join(lists.select("tok", F.col("m.comp").alias("major")), "tok")
+    for i, star in enumerate(stars):
+        best = star.groupBy(F.col("b").alias("doc_id")).agg(F.max(F.struct("same", "a")).alias("s"))
+        best = best.select("doc_id", F.col("s.a").alias(f"star{i}"), F.col("s.same").alias(f"same{i}"))
+        open_ = open_.join(best, "doc_id", "left")
+    open_ = stored(open_, "open_lists")
     x = open_.where("comp != major")
-    y = open_.select(
-        "tok", F.col("doc_id").alias("cdoc"), F.col("n").alias("cn"), F.col("pos").alias("cpos"),
-        F.col("comp").alias("ccomp"), F.col("star").alias("cstar"), F.col("same").alias("csame"),
-    )
-    # What both share with one centre, and what one has besides, bounds what they share.
-    bound = F.least(F.col("same") + F.col("cn") - F.col("csame"), F.col("csame") + F.col("n") - F.col("same"))
-    may = F.col("star").isNull() | F.col("cstar").isNull() | (F.col("star") != F.col("cstar"))
-    may = may | (bound >= _needed(F.col("n"), F.col("cn"), percent))
-    tried = (F.coalesce(F.col("star") == F.col("cdoc"), F.lit(False))) | (F.coalesce(F.col("cstar") == F.col("doc_id"), F.lit(False)))
-    once = (F.col("ccomp") == F.col("major")) | (F.col("doc_id") < F.col("cdoc"))
-    met = x.join(
-        y,
-        (x["tok"] == y["tok"]) & (F.col("comp") != F.col("ccomp")) & once & _possible(percent) & may & ~tried,
-    )
-    return met.select(F.col("cdoc").alias("a"), F.col("doc_id").alias("b")).distinct()
+    y = open_.toDF(*("tok" if c == "tok" else f"c{c}" for c in open_.columns))
+    least = _needed(F.col("n"), F.col("cn"), percent)
+    may = F.lit(True)
+    for i in range(len(stars)):
+        # A pair that was compared before has its answer.
+        may = may & ~F.coalesce(F.col(f"star{i}") == F.col("cdoc_id"), F.lit(False))
+        may = may & ~F.coalesce(F.col(f"cstar{i}") == F.col("doc_id"), F.lit(False))
+        for j in range(len(stars)):
+            # What both share with one centre, and what one has besides, bounds what they share.
+            bound = F.least(
+                F.col(f"same{i}") + F.col("cn") - F.col(f"csame{j}"), F.col(f"csame{j}") + F.col("n") - F.col(f"same{i}")
+            )
+            may = may & ~F.coalesce((F.col(f"star{i}") == F.col(f"cstar{j}")) & (bound < least), F.lit(False))
+    once = (F.col("ccomp") == F.col("cmajor")) | (F.col("doc_id") < F.col("cdoc_id"))
+    met = x.join(y, (x["tok"] == y["tok"]) & (F.col("comp") != F.col("ccomp")) & once & _possible(percent) & may)
+    return met.select(F.col("cdoc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -297,7 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         links.append(_linked(stars[-1], percent))
         comps = stored(components(reduce(DataFrame.unionByName, links)), "components")
     pairs = stored(
-        _last_pairs(_with_components(entries, comps), reduce(DataFrame.unionByName, stars), percent), "pairs"
+        _last_pairs(_with_components(entries, comps), stars, percent), "pairs"
     )
     links.append(_linked(stored(overlaps(pairs, texts, words), "overlaps"), percent))
     # Rows of one id in several classes connect those.
@@ -307,3 +318,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return sets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents of `near_duplicates` that have the smallest id of their component.
+
+    Documents that link with nothing, and rows without `doc_id`, stay; rows that share a
+    `doc_id` stay or go together. Columns are kept as they are.
+    """
+    found = near_duplicates(docs, words, percent)
+    gone = stored(found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(key_side(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

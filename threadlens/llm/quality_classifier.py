@@ -31,13 +31,13 @@ STATISTICS = [
 ]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """`doc_id` and the transformed statistics; null text counts as empty.
+def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep and the transformed statistics; null text counts as empty.
 
     All but the word count are logarithms of shares or means, 0 words giving shares
     of 0.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     rows = rows.withColumn("_w", F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
     def count(signs: str) -> Column:
@@ -49,7 +49,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         return F.log(F.when(whole > 0, part / whole).otherwise(0.0) + LEAST)
 
     return rows.select(
-        "doc_id",
+        *keep,
         F.log1p(n).alias("words"),
         share(chars, n).alias("word_length"),
         share(count("#*$%&<>@^~=+\\_{}[]"), chars).alias("signs"),
@@ -129,6 +129,27 @@ def held_out(parts: int, which: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == which, F.lit(False))
 
 
+def _score(model: Discriminant | float) -> Column:
+    if isinstance(model, float):
+        return F.lit(model)
+    # The scale leaves the order and the sign alone and keeps scores apart near 0 and 1.
+    return 1 / (1 + F.exp(-model.logit() / len(STATISTICS)))
+
+
+def _learned(rows: DataFrame, labels: DataFrame, parts: int, which: int) -> Discriminant | float:
+    """Fit on stored statistics of all labelled rows outside the held-out part."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")
+    )
+    known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    return fit(rows.where(~held_out(parts, which)).join(known, "doc_id"))
+
+
+def _stored_statistics(docs: DataFrame) -> DataFrame:
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    return stored(statistics(docs.select(ids, "text")), "statistics")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, parts: int = 3, which: int = 1) -> DataFrame:
     """`doc_id`, `held_out`, `score` (0 to 1, higher: label 1 likelier), `predicted`.
 
@@ -139,17 +160,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, parts: int = 3, which: int
     statistics of an empty text. Without labels of both kinds every score is the
     smoothed share of label 1. Other columns are ignored.
     """
-    rows = stored(statistics(docs), "statistics")
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
-        F.col("doc_id").cast("long").alias("doc_id")
-    )
-    known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    model = fit(rows.where(~held_out(parts, which)).join(known, "doc_id"))
-    if isinstance(model, float):
-        score = F.lit(model)
-    else:
-        # The scale leaves the order and the sign alone and keeps scores apart near 0 and 1.
-        score = 1 / (1 + F.exp(-model.logit() / len(STATISTICS)))
+    rows = _stored_statistics(docs)
+    score = _score(_learned(rows, labels, parts, which))
     return rows.select("doc_id", held_out(parts, which).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, parts: int = 3, which: int = 1) -> DataFrame:
+    """The documents that score 0.5 or more, with their own columns, unchanged.
+
+    Texts are measured a second time where they lie, so that none is moved.
+    """
+    model = _learned(_stored_statistics(docs), labels, parts, which)
+    inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = statistics(docs.toDF(*inner.values()), inner["text"], tuple(inner.values()))
+    # Generated columns are computed once; plain ones would be put into the score wherever
+    # it names them.
+    rows = rows.select(*inner.values(), F.inline(F.array(F.struct(*STATISTICS))))
+    return rows.where(_score(model) >= 0.5).select(*(F.col(own).alias(c) for c, own in inner.items()))
