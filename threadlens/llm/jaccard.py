@@ -183,12 +183,14 @@ def overlaps(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame
     The members of a centre `a` meet it in blocks; a task holds one centre at a time.
     """
     counts = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    blocks = counts.select("a", F.expr(f"int(_n div {BLOCK}) + 1").alias("blocks"))
+    blocks = stored(counts.select("a", F.expr(f"int(_n div {BLOCK}) + 1").alias("blocks")), "blocks")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = docs.join(key_side(ids), "doc_id", "left_semi").select("doc_id", "text")
     members = pairs.join(blocks, "a").withColumn("slot", F.expr("pmod(xxhash64(b), blocks)").cast("int"))
-    members = members.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "slot", "b", "text")
-    centres = blocks.join(texts.withColumnRenamed("doc_id", "a"), "a").select(
+    members = key_side(stored(members.select("a", "slot", "b"), "members"))
+    # Where ids and pairs are few enough to be sent around, texts move once, to their centre.
+    members = texts.withColumnRenamed("doc_id", "b").join(members, "b").select("a", "slot", "b", "text")
+    centres = texts.withColumnRenamed("doc_id", "a").join(key_side(blocks), "a").select(
         "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slot"), F.lit(None).cast("long").alias("b"), "text"
     )
     rows = members.unionByName(centres).repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
@@ -263,7 +265,17 @@ def _last_pairs(entries: DataFrame, stars: list[DataFrame], percent: int) -> Dat
             may = may & ~F.coalesce((F.col(f"star{i}") == F.col(f"cstar{j}")) & (bound < least), F.lit(False))
     once = (F.col("ccomp") == F.col("cmajor")) | (F.col("doc_id") < F.col("cdoc_id"))
     met = x.join(y, (x["tok"] == y["tok"]) & (F.col("comp") != F.col("ccomp")) & once & _possible(percent) & may)
-    return met.select(F.col("cdoc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pair = [F.least("doc_id", "cdoc_id").alias("a"), F.greatest("doc_id", "cdoc_id").alias("b")]
+    met = stored(met.select(*pair).distinct(), "met")
+    # A pair's overlap is what both list entries share and, at most, what is not listed of
+    # the larger remainder: 80 per cent of a set less one.
+    ids = stored(met.select(F.col("a").alias("doc_id")).unionByName(met.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    own = open_.select("doc_id", "n", "tok").join(key_side(ids), "doc_id", "left_semi")
+    own = own.groupBy("doc_id", "n").agg(F.collect_list("tok").alias("toks"))
+    left = met.join(own.toDF("a", "na", "ta"), "a").join(own.toDF("b", "nb", "tb"), "b")
+    rest = F.ceil(percent * F.greatest("na", "nb") / 100) - 1
+    enough = F.size(F.array_intersect("ta", "tb")) + rest >= _needed(F.col("na"), F.col("nb"), percent)
+    return left.where(enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
