@@ -24,7 +24,7 @@ from threadlens.llm.quality_classifier import held_out
 BITS = (10, 13, 15)
 STARTS = np.cumsum([0, *(1 << b for b in BITS)])
 # Labelled texts to fit on, all languages together (at least 20 of each, as far as there are).
-SAMPLE = 3_000
+SAMPLE = 2_000
 LANDMARKS = 192
 RIDGE = 1e-2
 BATCH = 64
@@ -63,11 +63,12 @@ def presence(text: str | None) -> np.ndarray | None:
     return out
 
 
-def _weighted(rows: np.ndarray) -> np.ndarray:
-    """Presences divided by the root of their number, for each n-gram length."""
-    out = rows.astype(np.float32)
-    for a, b in zip(STARTS, STARTS[1:]):
-        out[:, a:b] /= np.sqrt(np.maximum(rows[:, a:b].sum(axis=1, keepdims=True), 1))
+def _weighted(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Those columns of presences, divided by the root of their number for each n-gram length."""
+    out = rows[:, columns].astype(np.float32)
+    cuts = np.searchsorted(columns, STARTS)
+    for (a, b), (x, y) in zip(zip(STARTS, STARTS[1:]), zip(cuts, cuts[1:])):
+        out[:, x:y] /= np.sqrt(np.maximum(np.count_nonzero(rows[:, a:b], axis=1), 1))[:, None]
     return out
 
 
@@ -79,14 +80,14 @@ class KernelRidge:
         # Landmarks in turn from each language, in sample order.
         turns = {x: [i for i, y in enumerate(langs) if y == x] for x in self.langs}
         chosen = [turns[x][k] for k in range(len(langs)) for x in self.langs if k < len(turns[x])][:landmarks]
-        weighted = _weighted(rows)
         self.columns = np.flatnonzero(rows[chosen].any(axis=0))
-        self.marks = np.ascontiguousarray(weighted[chosen][:, self.columns].T)
+        weighted = _weighted(rows, self.columns)
+        self.marks = np.ascontiguousarray(weighted[chosen].T)
         kernel = self.marks.T.astype(float) @ self.marks
         values, vectors = np.linalg.eigh(kernel)
         good = values > values[-1] * 1e-6
         root = vectors[:, good] / np.sqrt(values[good])
-        features = (weighted[:, self.columns] @ self.marks) @ root
+        features = (weighted @ self.marks) @ root
         targets = np.array([[1.0 if x == y else -1.0 for y in self.langs] for x in langs])
         size = features.shape[1]
         self.mean = targets.mean(axis=0)
@@ -94,7 +95,7 @@ class KernelRidge:
         self.weights = (root @ solved).astype(np.float32)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        return (_weighted(rows)[:, self.columns] @ self.marks) @ self.weights + self.mean
+        return (_weighted(rows, self.columns) @ self.marks) @ self.weights + self.mean
 
 
 def _presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +126,10 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE) -> KernelRidge | No
     if not found:
         return None
     order = np.random.default_rng(7).permutation(len(found))
-    bits = np.stack([np.unpackbits(np.frombuffer(found[i]["bits"], np.uint8), count=STARTS[-1]) for i in order])
-    return KernelRidge(bits.astype(bool), [found[i]["lang"] for i in order])
+    bits = np.zeros((len(found), STARTS[-1]), bool)
+    for at, i in enumerate(order):
+        bits[at] = np.unpackbits(np.frombuffer(found[i]["bits"], np.uint8), count=STARTS[-1])
+    return KernelRidge(bits, [found[i]["lang"] for i in order])
 
 
 def _predict(model: KernelRidge | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
