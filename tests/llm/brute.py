@@ -40,3 +40,20 @@ def cleaned(text: str | None, gone: set[int]) -> str | None:
             out.append(line)
         m += 1
     return "" if len(gone) == m else "\n".join(out)
+
+
+def near_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    """Set sizes and components of all pairs with 80 per cent of five-word shingles in common."""
+    sets = {}
+    for doc, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[doc] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    label = {doc: doc for doc in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if label[b] < label[a] and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    label[a], changed = label[b], True
+    return {doc: (len(x), label[doc]) for doc, x in sets.items()}

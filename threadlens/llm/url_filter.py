@@ -111,13 +111,13 @@ class Segmenter:
 
 
 def word_counts(pages: DataFrame, words: int = WORDS) -> dict[str, int]:
-    """The most frequent lower-case words of all pages (text, hosts and paths).
+    """The most frequent lower-case words in the visible text of all pages.
 
-    Counted over all pages; the size of the table is bounded by `words`.
+    Counted over all pages; the size of the table is bounded by `words`. Hosts and paths
+    are left out: a concatenated name must not count as a word.
     """
-    host, path = url_parts(F.col("url"))
     visible = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    found = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", host, path, visible)), r"[^\p{L}]+")).alias("word"))
+    found = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word"))
     found = found.where(f"length(word) between 1 and {LONGEST}").groupBy("word").count()
     top = found.orderBy(F.desc("count"), "word").limit(words)
     return {r["word"]: r["count"] for r in top.collect()}
