@@ -37,7 +37,7 @@ HEADLINE = [
     "ingest_json",
     "ingest_stream",
 ]
-RUNS = 1
+RUNS = 3
 
 
 def main() -> None:

@@ -99,17 +99,19 @@ def test_results_are_the_successes(spark):
     assert {r["post_id"] for r in results.collect()} == {"plain", "silent", "low", "badanswer"}
 
 
-def test_threads_too_long_get_the_default_answer_and_say_so(spark, monkeypatch):
-    monkeypatch.setattr(threads.threads_for_prompts, "__defaults__", (8,))
+def test_a_long_thread_is_asked_and_answered(spark):
     posts, comments = frames(spark)
-    got = {
-        r["post_id"]: r
-        for r in condense_outcomes(posts, comments, FunctionModel(make_model())).collect()
-    }
-    assert got["plain"]["status"] == "ok"
-    assert got["plain"]["error"] == "thread too long for one prompt"
-    assert (got["plain"]["solution"], got["plain"]["confidence"]) == ("-999", 0.0)
-    assert got["low"]["error"] is None
+    more = spark.range(2, 1_500).selectExpr("'plain' post_id", "id seq", "repeat('x', 2000) body")
+    asked = condense_outcomes(posts, comments.select("post_id", "seq", "body").unionByName(more), FunctionModel(make_model()))
+    got = {r["post_id"]: r for r in asked.collect()}
+    assert (got["plain"]["status"], got["plain"]["error"], got["plain"]["stage"]) == ("ok", None, "answer")
+    assert got["plain"]["confidence"] > 0
+
+
+def test_repeated_replies_make_no_rows(spark):
+    posts, comments = frames(spark)
+    replies = spark.createDataFrame([("plain", "analysis", "{}"), ("plain", "analysis", "[]")], "post_id string, stage string, reply string")
+    assert condense_outcomes(posts, comments, Replay(replies)).count() == posts.count()
 
 
 def test_replay_needs_no_python(spark):

@@ -2,6 +2,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from threadlens.functions.prompts import INSTRUCTIONS
@@ -143,3 +144,10 @@ def test_tasks_need_no_installed_package(rows):
     assert done.returncode == 0, done.stderr.decode()
     assert json.loads(done.stdout.decode().replace("(", "[").replace(")", "]").replace("None", "null").replace("'", '"')) == [["x", "ok", None, 1]]
     assert pickle
+
+
+def test_short_prompts_use_all_slots(spark):
+    prompts = spark.range(0, 20_000, 1, 2).selectExpr("'p' || id post_id", "0 round")
+    model = FunctionModel(lambda _, some: [str(TaskContext.get().partitionId()) for _ in some])
+    replies = model.attach(prompts, "answer", F.col("post_id"), F.lit(True))
+    assert replies.select("answer_reply").distinct().count() >= spark.sparkContext.defaultParallelism

@@ -80,3 +80,12 @@ def test_filter_and_columns_reach_the_scan(spark, tmp_path):
     )
     assert "GreaterThan(num_comments,1)" in plan
     assert "selftext" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("limit", [2, 1001])
+def test_a_repeated_post_takes_one_place(spark, limit):
+    rows = [("c", 9, "a"), ("c", 9, "a"), ("c", 5, "a"), ("c", 7, "b"), (None, 1, "d"), ("c", 1, "e")]
+    frame = spark.createDataFrame(rows, "community string, upvotes long, post_id string")
+    found = sorted(((r["community"] or "", r["post_id"], r["upvotes"]) for r in top_per_community(frame, limit).collect()))
+    assert found == [("", "d", 1), ("c", "a", 9), ("c", "b", 7), ("c", "e", 1)][: 3 if limit == 2 else 4]
+    assert [r["post_id"] for r in top_overall(frame, 2).collect()] == ["a", "b"]

@@ -1,5 +1,5 @@
 import random
-import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ ALPHABET = (
 PIECES = list(ALPHABET) + ["http://", "https://", ".jpg", ".png", ".gif", ".jpeg", "://", "x"]
 
 
+# Radicals, radical forms and description signs: three half blocks of 128 code points.
+RADICAL_BLOCKS = range(0x5D, 0x60)
+SUFFIXES = (".jpg", ".jpeg", ".png", ".gif")
+
+
 def random_texts(n=4000, seed=7):
     rng = random.Random(seed)
     return [
@@ -20,27 +25,45 @@ def random_texts(n=4000, seed=7):
     ] + [None]
 
 
-def folded(c):
-    return chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c
+def width_variant(c):
+    """The ASCII sign a full-width form stands for, by the Unicode data."""
+    kind, _, code = unicodedata.decomposition(c).partition(" ")
+    return chr(int(code, 16)) if kind == "<wide>" and int(code, 16) in range(0x21, 0x7F) else None
 
 
 def plain_ascii(t):
-    return "".join(map(folded, t)) if t else None
+    return "".join(width_variant(c) or c for c in t) if t else None
 
 
 def plain_text(t):
     if not t:
         return None
-    kept = (c for c in t if not "⺀" <= c <= "⿿")
-    return "".join(" " if c == "　" else folded(c) for c in kept).strip()
+    out = []
+    for c in t:
+        if unicodedata.name(c, "") == "IDEOGRAPHIC SPACE":
+            out.append(" ")
+        elif ord(c) >> 7 not in RADICAL_BLOCKS:
+            out.append(width_variant(c) or c)
+    return "".join(out).strip()
 
 
 def plain_links(t):
-    for pattern in (r"https?://\S+\.(?:jpg|jpeg|png|gif)", r"https?://\S+"):
-        found = re.findall(pattern, t or "")
-        if found:
-            return ", ".join(found)
-    return "No links or images found."
+    """Cut at white space, find the scheme, cut images at the last suffix."""
+    urls, images = [], []
+    for run in (t or "").split():
+        starts = [i for i in range(len(run)) if run.startswith(("http://", "https://"), i)]
+        starts = [i for i in starts if not run[i:] in ("http://", "https://")]
+        if not starts:
+            continue
+        url = run[starts[0] :]
+        urls.append(url)
+        for start in starts:
+            tail, first = run[start:], run.index("://", start) - start + 4
+            ends = [i + len(x) for x in SUFFIXES for i in range(first, len(tail)) if tail.startswith(x, i)]
+            if ends:
+                images.append(tail[: max(ends)])
+                break
+    return ", ".join(images or urls) or "No links or images found."
 
 
 def plain_type(t):

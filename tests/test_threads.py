@@ -1,5 +1,3 @@
-import random
-
 from threadlens.operators import threads as T
 
 SCHEMA = "post_id string, seq long, body string"
@@ -16,37 +14,23 @@ def test_bodies_are_joined_in_order_and_nulls_skipped(spark):
     assert (rows["c"]["has_comments"], rows["c"]["body_text"]) == (False, None)
 
 
-def test_long_threads_come_in_bounded_parts(spark):
-    rng = random.Random(5)
-    rows = [
-        (f"p{p}", i, "é" * rng.randrange(1, 9))
-        for p, size in enumerate([3, 200, 1, 90])
-        for i in range(1, size + 1)
-    ]
-    comments = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    parts = T.thread_parts(comments, max_bytes=300).collect()
-    for post in ("p0", "p1", "p2", "p3"):
-        mine = sorted((r for r in parts if r["post_id"] == post), key=lambda r: r["part"])
-        assert "\n".join(r["body_text"] for r in mine) == "\n".join(
-            r[2] for r in sorted(rows) if r[0] == post
-        )
-        assert all(len(r["body_text"].encode()) <= 300 for r in mine)
-        assert {r["whole"] for r in mine} == {len(mine) == 1}
-    assert len(parts) > 4
-
-
-def test_threads_too_long_for_a_prompt_have_no_text(spark):
-    comments = spark.createDataFrame(
-        [("a", i, "x" * 50) for i in range(1, 9)] + [("b", 1, "y")], SCHEMA
-    )
-    posts = spark.createDataFrame([("a",), ("b",)], "post_id string")
-    found = T.threads_for_prompts(comments, posts, max_bytes=100).collect()
-    assert {r["post_id"]: r["body_text"] for r in found} == {"a": None, "b": "y"}
+def test_a_thread_is_one_row_however_long(spark):
+    long = [("p0", i, f"{i:07d}" * 1_000) for i in range(1, 3_001)]
+    comments = spark.createDataFrame([*long, ("p1", 1, "y")], SCHEMA).repartition(5)
+    rows = {r["post_id"]: r["n"] for r in T.thread_texts(comments).selectExpr("post_id", "length(body_text) n").collect()}
+    assert rows == {"p0": 3_000 * 7_001 - 1, "p1": 1}
+
+
+def test_a_repeated_comment_counts_once(spark):
+    comments = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], SCHEMA)
+    assert T.thread_texts(comments.union(comments)).first()["body_text"] == "x\ny"
+    posts = spark.createDataFrame([("a",)], "post_id string")
+    assert [tuple(r) for r in T.threads_for_prompts(comments, posts).collect()] == [("a", "x\ny")]
 
 
 def test_usual_threads_take_one_shuffle_and_no_map_side_gathering(spark, tmp_path):
     rows = [(f"p{i % 7}", i // 7 + 1, "b") for i in range(70)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/c")
     comments = spark.read.parquet(f"{tmp_path}/c")
-    plan = T.thread_parts(comments)._jdf.queryExecution().executedPlan().toString()
+    plan = T.thread_texts(comments)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1

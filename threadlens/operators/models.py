@@ -40,8 +40,11 @@ class Replay:
     def attach(
         self, rows: DataFrame, stage: str, prompt: Column, needed: Column
     ) -> DataFrame:
-        known = self.responses.filter(F.col("stage") == stage).select(
-            "post_id", F.col("reply").alias("_reply")
+        # Of several replies to one post the largest text counts.
+        known = (
+            self.responses.filter(F.col("stage") == stage)
+            .groupBy("post_id")
+            .agg(F.max("reply").alias("_reply"))
         )
         reply = F.when(needed, F.col("_reply"))
         found = F.col("_reply").isNotNull()
@@ -62,7 +65,8 @@ class FunctionModel:
     """A picklable `function(instruction, prompts) -> replies`, run in tasks.
 
     Prompts go out `batch_size` at a time. `partitions` sets how many tasks call
-    the model at once; without it they follow the input. Replies are stored
+    the model at once; without it there are as many as shuffle partitions (or twice the
+    cores, if that is more), however short the prompts. Replies are stored
     before anything reads them, so each action downstream reuses them. With
     `folder` they are kept there by `batch`, and only those prompts are asked that
     have no reply yet in this batch or in one of `earlier` (first and last).
@@ -109,27 +113,31 @@ class FunctionModel:
         return spark.read.schema(STORED_REPLIES).parquet(path).filter(mine).drop("batch")
 
     def _asked(self, prompts: DataFrame, stage: str) -> DataFrame:
-        if self.partitions:
-            prompts = prompts.repartition(self.partitions, "post_id")
+        # An explicit number, which adaptive execution does not merge by bytes.
+        spark = prompts.sparkSession
+        usual = max(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            2 * spark.sparkContext.defaultParallelism,
+        )
+        prompts = prompts.repartition(self.partitions or usual, "post_id")
         function, instruction = self.function, self.instructions[stage]
         size, tries, wait, sleep = self.batch_size, self.tries, self.wait, self.sleep
         names, kinds = REPLIES.names, [pa.string(), pa.string(), pa.string(), pa.int32()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
-                prompts, answers = rows.column("prompt").to_pylist(), []
-                for start in range(0, len(prompts), size):
-                    answers += ask(
+                for start in range(0, len(rows), size):
+                    part = rows.slice(start, size)
+                    answers = ask(
                         lambda some: function(instruction, some),
-                        prompts[start : start + size],
+                        part.column("prompt").to_pylist(),
                         tries,
                         wait,
                         sleep,
                     )
-                keys = [rows.column("post_id"), rows.column("round")]
-                columns = zip(*answers) if answers else [()] * len(kinds)
-                added = [pa.array(list(v), kind) for v, kind in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays(keys + added, names=names)
+                    keys = [part.column("post_id"), part.column("round")]
+                    added = [pa.array(list(v), k) for v, k in zip(zip(*answers), kinds)]
+                    yield pa.RecordBatch.from_arrays(keys + added, names=names)
 
         return prompts.mapInArrow(run, REPLIES)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.operators.copies import each_once
 from threadlens.storage import stored
 
 _SALTS = 64
@@ -14,25 +15,32 @@ def best_first() -> list[Column]:
 
 
 def top_per_community(posts: DataFrame, limit: int) -> DataFrame:
-    """The best `limit` posts of each community."""
+    """The best `limit` posts of each community.
+
+    A post that is there several times in a community takes one place.
+    """
     if limit <= 0:
         return posts.filter(F.lit(False))
+    posts = each_once(posts, ["community", "post_id"])
     if limit > _window_limit(posts):
         return _top_by_number(posts, ["community"], limit)
-    # Map tasks keep `limit` rows per window group. With very many map tasks
-    # that is still a lot for the one task of a hot community, so the salted
-    # window thins it out first.
-    thinned = _first_rows(posts, ["community", _salt()], limit)
-    return _first_rows(thinned, ["community"], limit)
+    # Map tasks keep `limit` rows per window group. With very many map tasks that is
+    # still a lot for the one task of a hot community, so a window over some of the map
+    # tasks thins it out first. Only ids and scores go through both.
+    ids = posts.select("community", "upvotes", "post_id").withColumn("_salt", _salt())
+    thinned = _first_rows(ids, ["community", "_salt"], limit)
+    return _only(posts, _first_rows(thinned, ["community"], limit).select("community", "post_id"))
 
 
 def top_overall(posts: DataFrame, limit: int) -> DataFrame:
-    """The best `limit` posts, communities not told apart."""
+    """The best `limit` posts, communities not told apart; each post once."""
     if limit <= 0:
         return posts.filter(F.lit(False))
+    posts = each_once(posts, ["post_id"])
     if limit > _window_limit(posts):
         return _top_by_number(posts, [], limit)
-    return _first_rows(posts, [_salt()], limit).orderBy(*best_first()).limit(limit)
+    # Each task keeps its best rows and sends those only.
+    return posts.orderBy(*best_first()).limit(limit)
 
 
 def number_within(
@@ -62,15 +70,21 @@ def number_within(
         .drop("_rows")
     )
     place = F.row_number().over(Window.partitionBy("_part", *by_group).orderBy(*order))
+    starts = starts.withColumnsRenamed({c: f"_group{i}" for i, c in enumerate(group)}).withColumnRenamed(
+        "_part", "_of"
+    )
+    # Null is a group like any other.
+    same = [F.col(c).eqNullSafe(F.col(f"_group{i}")) for i, c in enumerate(group)]
     return (
-        ranged.join(starts, [*group, "_part"])
+        ranged.join(starts, [F.col("_part") == F.col("_of"), *same])
         .withColumn(name, (place + F.col("_start")).cast("long"))
-        .drop("_part", "_start")
+        .drop("_part", "_start", "_of", *(f"_group{i}" for i in range(len(group))))
     )
 
 
 def _salt() -> Column:
-    return F.pmod(F.xxhash64("post_id"), F.lit(_SALTS))
+    # By map task: a task's rows stay one group, so it sends `limit` of them, not more.
+    return F.pmod(F.spark_partition_id(), F.lit(_SALTS))
 
 
 def _first_rows(posts: DataFrame, group: list, limit: int) -> DataFrame:
@@ -90,5 +104,10 @@ def _top_by_number(posts: DataFrame, group: list[str], limit: int) -> DataFrame:
     # Only ids and scores are sorted; the wide rows are joined back by id.
     ids = posts.select(*group, "upvotes", "post_id")
     places = number_within(ids, group, best_first(), "_place")
-    kept = places.filter(F.col("_place") <= limit).select(*group, "post_id")
-    return posts.join(kept, [*group, "post_id"], "left_semi")
+    return _only(posts, places.filter(F.col("_place") <= limit).select(*group, "post_id"))
+
+
+def _only(posts: DataFrame, kept: DataFrame) -> DataFrame:
+    """The posts with those keys, also where a key is null."""
+    same = [posts[c].eqNullSafe(kept[c]) for c in kept.columns]
+    return posts.join(kept, same, "left_semi")

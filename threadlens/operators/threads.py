@@ -1,124 +1,47 @@
 """From comment rows to the text of a thread."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.storage import fits_broadcast, key_side, stored
+from threadlens.operators.copies import one_of_each
+from threadlens.storage import fits_broadcast
 
-# A prompt is one value and has to fit one row. Far above what a model takes.
-MAX_THREAD_BYTES = 64 * 1024 * 1024
-_USUAL_BODY = 64 * 1024
 
+def thread_texts(comments: DataFrame) -> DataFrame:
+    """`post_id, body_text`: comment bodies in order of `seq`, one row per post.
 
-def thread_parts(comments: DataFrame, max_bytes: int = MAX_THREAD_BYTES) -> DataFrame:
-    """`post_id, part, whole, body_text`: comment bodies in order of `seq`.
-
-    `seq` has to be distinct within a post and should count from 1. Bodies are
-    joined by newlines and null bodies skipped; a thread of nothing but null
-    bodies is empty text. Almost every thread is one row with `whole` true. One
-    longer than `max_bytes` comes in several rows, in order of `part`, each
-    within the bound (or a single comment), so that no task ever gathers a
-    thread of unbounded size; put together by newlines they are the whole text.
+    Bodies are joined by newlines and null bodies skipped; a thread of nothing but
+    null bodies is empty text. A thread is always whole, however long: it is one value
+    of the result, and only its post's rows meet in the task that puts it together.
+    Of several rows with one `seq` in a post one counts.
     """
-    long = _long_threads(comments, max_bytes)
-    if long is None:
-        return _whole_threads(comments).select(
-            "post_id",
-            F.lit(0).cast("long").alias("part"),
-            F.lit(True).alias("whole"),
-            "body_text",
-        )
-    part = F.floor((F.col("seq") - 1) / F.col("per_part"))
-    return (
-        comments.join(key_side(long), "post_id", "left")
-        .select(
-            "post_id",
-            F.coalesce(part, F.lit(0)).cast("long").alias("part"),
-            F.col("per_part").isNull().alias("whole"),
-            "seq",
-            "body",
-        )
-        .repartition("post_id", "part")
-        .groupBy("post_id", "part", "whole")
-        .agg(_bodies().alias("body_text"))
-    )
+    # Gathering shrinks nothing, so combining in the map tasks would be in vain: the
+    # explicit shuffle by key leaves it out.
+    return _joined(comments.repartition("post_id"))
 
 
-def join_threads(
-    posts: DataFrame, comments: DataFrame, max_bytes: int = MAX_THREAD_BYTES
-) -> DataFrame:
-    """Posts, each with its thread: `has_comments`, `part`, `whole`, `body_text`.
+def join_threads(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """Posts, each with its thread: `has_comments`, `body_text`.
 
     A post without comments stays, with `has_comments` false.
     """
-    parts = thread_parts(comments, max_bytes).withColumn("has_comments", F.lit(True))
-    return posts.join(parts, "post_id", "left").withColumn(
+    threads = thread_texts(comments).withColumn("has_comments", F.lit(True))
+    return posts.join(threads, "post_id", "left").withColumn(
         "has_comments", F.coalesce("has_comments", F.lit(False))
     )
 
 
-def threads_for_prompts(
-    comments: DataFrame, posts: DataFrame, max_bytes: int = MAX_THREAD_BYTES
-) -> DataFrame:
-    """One row per given post with comments: `post_id, body_text`.
-
-    `body_text` is null where the thread is too long for one prompt. `posts` is
-    counted first: hand in a stored table.
-    """
+def threads_for_prompts(comments: DataFrame, posts: DataFrame) -> DataFrame:
+    """`thread_texts` of the given posts. `posts` is counted: hand in a stored table."""
     wanted = posts.select("post_id")
-    long = _long_threads(comments, max_bytes)
-    short = comments
-    if long is not None:
-        # Leaves the hot posts out before anything is shuffled.
-        short = comments.join(key_side(long), "post_id", "left_anti")
     few = fits_broadcast(wanted)
-    side = F.broadcast(wanted) if few else wanted
-    texts = _whole_threads(short.join(side, "post_id", "left_semi"), shuffled=not few)
-    if long is None:
-        return texts
-    return texts.unionByName(
-        long.join(wanted, "post_id", "left_semi").select(
-            "post_id", F.lit(None).cast("string").alias("body_text")
-        )
-    )
-
-
-def _bodies() -> Column:
-    rows = F.sort_array(F.collect_list(F.struct("seq", "body")))
-    return F.array_join(F.transform(rows, lambda row: row["body"]), "\n")
+    mine = comments.join(F.broadcast(wanted) if few else wanted, "post_id", "left_semi")
+    # The join of a large table has dealt the comments out by post already.
+    return thread_texts(mine) if few else _joined(mine)
 
 
-def _whole_threads(comments: DataFrame, shuffled: bool = False) -> DataFrame:
-    rows = comments.select("post_id", "seq", "body")
-    if not shuffled:
-        # Gathering shrinks nothing, so combining in the map tasks would be in
-        # vain: the explicit shuffle by key leaves it out.
-        rows = rows.repartition("post_id")
-    return rows.groupBy("post_id").agg(_bodies().alias("body_text"))
-
-
-def _long_threads(comments: DataFrame, max_bytes: int) -> DataFrame | None:
-    """`post_id, per_part` of threads over the bound; None if there are none.
-
-    A thread with so few comments that it fits as long as none of them exceeds
-    `_USUAL_BODY` is not measured; so finding out that there is nothing to
-    measure reads one number per comment. `per_part` comments of a long thread
-    stay within the bound whichever they are, its longest comment being known.
-    """
-    deep = comments.filter(F.col("seq") > max_bytes // _USUAL_BODY).select("post_id")
-    if deep.isEmpty():
-        return None
-    deep = stored(deep.distinct(), "deep-threads")
-    size = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long") + 1
-    sizes = comments.select("post_id", size.alias("size")).join(
-        key_side(deep), "post_id", "left_semi"
-    )
-    per_part = F.greatest(F.floor(F.lit(max_bytes) / F.max("size")), F.lit(1))
-    long = stored(
-        sizes.groupBy("post_id")
-        .agg(F.sum("size").alias("bytes"), per_part.alias("per_part"))
-        .filter(F.col("bytes") > max_bytes)
-        .select("post_id", "per_part"),
-        "long-threads",
-    )
-    return None if long.isEmpty() else long
+def _joined(comments: DataFrame) -> DataFrame:
+    rows = one_of_each(comments.select("post_id", "seq", "body"), ["post_id", "seq"])
+    bodies = F.sort_array(F.collect_list(F.struct("seq", "body")))
+    text = F.array_join(F.transform(bodies, lambda row: row["body"]), "\n")
+    return rows.groupBy("post_id").agg(text.alias("body_text"))

@@ -9,6 +9,7 @@ from threadlens.functions.prompts import (
     answer_prompt,
     generalize_prompt,
 )
+from threadlens.operators.copies import each_once
 from threadlens.operators.decision import decide
 from threadlens.operators.models import FunctionModel, Replay
 from threadlens.operators.threads import threads_for_prompts
@@ -36,13 +37,7 @@ def condense_outcomes(
     fails the post; a failed answer leaves it with the default answer. `stage`,
     `error` and `attempts` tell of the stage that failed, or of the last one.
     """
-    return outcomes_of_distinct(each_once(posts), comments, backend)
-
-
-def each_once(posts: DataFrame) -> DataFrame:
-    """One row per post. Whole posts are only moved if some are repeated."""
-    repeated = posts.groupBy("post_id").count().filter(F.col("count") > 1)
-    return posts if repeated.isEmpty() else posts.dropDuplicates(["post_id"])
+    return outcomes_of_distinct(each_once(posts, ["post_id"]), comments, backend)
 
 
 def outcomes_of_distinct(
@@ -145,19 +140,13 @@ def _answered(rows: DataFrame, comments: DataFrame, backend: Backend) -> DataFra
         answer_prompt(
             F.col("user_complaint"), F.col("diagnosis"), F.col("body_text")
         ),
-        ok & has_comments & F.col("body_text").isNotNull(),
-    )
-    too_long = F.when(
-        ok & has_comments & F.col("body_text").isNull(),
-        F.lit("thread too long for one prompt"),
+        ok & has_comments,
     )
     called = F.col("answer_status").isNotNull()
     return decide(asked, F.col("answer_reply")).withColumns(
         {
-            "stage": F.when(called | too_long.isNotNull(), "answer").otherwise(
-                F.col("stage")
-            ),
-            "error": F.coalesce("answer_error", too_long, F.col("error")),
+            "stage": F.when(called, "answer").otherwise(F.col("stage")),
+            "error": F.coalesce("answer_error", "error"),
             "attempts": F.coalesce("answer_attempts", "attempts"),
         }
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.schemas import COMMENTS_CSV_HEADER, COMMENTS, POSTS, POSTS_CSV_HEADER
+from threadlens.storage import exists
 
 # Cells hold newlines and doubled quotes. Quoted newlines also keep Spark from
 # splitting a file, so the writer bounds the size of each file.
@@ -19,7 +20,7 @@ def read_threads(
     `tables` is what `write_threads` writes: `posts/community=x/*.csv` and
     `comments/community=x/*.csv`. `folders` is one folder per community with
     `x/x_posts.csv` and `x/x_comments.csv`. Communities without files simply have
-    no rows; see `missing_communities`.
+    no rows, nor does a `base` that is not there; see `missing_communities`.
     """
     if layout == "tables":
         return read_table(spark, f"{base}/posts", POSTS), read_table(
@@ -31,11 +32,14 @@ def read_threads(
     comments = _read_folders(
         spark, base, "comments", _columns(COMMENTS, COMMENTS_CSV_HEADER)
     )
-    # A file is read by one task from start to end, so this follows file order.
+    # A file is read by one task from start to end, so this follows file order. It
+    # ascends within a post; it is no count.
     return posts, comments.withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).options(**READ_OPTIONS).csv(path)
 
 
@@ -47,6 +51,9 @@ def missing_communities(
     Only file names are listed, no file is opened.
     """
     tables = layout == "tables"
+    wanted = spark.createDataFrame([(c,) for c in requested], "community string")
+    if not exists(spark, f"{base}/posts" if tables else base):
+        return wanted
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -57,13 +64,14 @@ def missing_communities(
     if tables:
         folder = _decoded(F.regexp_replace(folder, "^community=", ""))
     present = files.select(folder.alias("community"))
-    wanted = spark.createDataFrame([(c,) for c in requested], "community string")
     return wanted.join(present, "community", "left_anti")
 
 
 def _read_folders(
     spark: SparkSession, base: str, table: str, schema: T.StructType
 ) -> DataFrame:
+    if not exists(spark, base):
+        return spark.createDataFrame([], _with_community(schema))
     return (
         spark.read.schema(schema)
         .options(**READ_OPTIONS)

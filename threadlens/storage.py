@@ -3,7 +3,6 @@
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,12 +47,16 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 
 def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A Parquet table, or no rows where nothing has been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store of this path has it."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
 
 
 def fits_broadcast(keys: DataFrame) -> bool:

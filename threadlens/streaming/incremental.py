@@ -15,11 +15,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.operators.copies import each_once
 from threadlens.operators.models import FunctionModel
 from threadlens.operators.progress import observed, pending
 from threadlens.plans.condense import (
     Backend,
-    each_once,
     outcomes_of_distinct,
     successes,
 )
@@ -129,7 +129,7 @@ def _condense_batch(
     spark = posts.sparkSession
     known = ledger(spark, out, run)
     # Stored, as every stage below starts from it.
-    needed = each_once(posts).select("post_id", "title", "self_text", "created_utc")
+    needed = each_once(posts.select("post_id", "title", "self_text", "created_utc"), ["post_id"])
     todo = stored(_with_rounds(needed, known, retry_failed), "todo")
     if isinstance(backend, FunctionModel):
         backend = replace(backend, batch=batch)
@@ -163,9 +163,9 @@ def _chunks(posts: DataFrame, chunk_rows: int | None) -> list[DataFrame]:
     spark = posts.sparkSession
     count = max(1, math.ceil(posts.count() / chunk_rows))
     path = new_folder(spark, "chunks")
-    posts.withColumn("_chunk", F.pmod(F.xxhash64("post_id"), F.lit(count))).write.partitionBy(
-        "_chunk"
-    ).parquet(path)
+    # Dealt out by chunk first: a chunk is a few files, not one from every task.
+    chunked = posts.withColumn("_chunk", F.pmod(F.xxhash64("post_id"), F.lit(count)))
+    chunked.hint("rebalance", "_chunk").write.partitionBy("_chunk").parquet(path)
     split = spark.read.parquet(path)
     return [split.filter(F.col("_chunk") == i).drop("_chunk") for i in range(count)]
 
