@@ -113,14 +113,23 @@ class Segmenter:
 def word_counts(pages: DataFrame, words: int = WORDS) -> dict[str, int]:
     """The most frequent lower-case words in the visible text of all pages.
 
-    Counted over all pages; the size of the table is bounded by `words`. Hosts and paths
+    Counted over all pages. Words of less than some count are left out, so that at most
+    `words` are left; the count is found from a histogram of counts, in sixteenths of an
+    octave. Hosts and paths
     are left out: a concatenated name must not count as a word.
     """
     visible = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     found = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word"))
     found = found.where(f"length(word) between 1 and {LONGEST}").groupBy("word").count()
-    top = found.orderBy(F.desc("count"), "word").limit(words)
-    return {r["word"]: r["count"] for r in top.collect()}
+    found = stored(found.withColumn("step", F.floor(16 * F.log2("count")).cast("int")), "words")
+    steps = found.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    least, taken = 1 << 30, 0
+    for step in steps:
+        taken += step["n"]
+        if taken > words:
+            break
+        least = step["step"]
+    return {r["word"]: r["count"] for r in found.where(F.col("step") >= least).collect()}
 
 
 def _tokens(segmenter: Segmenter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
