@@ -4,12 +4,12 @@ from threadlens.checks.queries import TOP_LARGE, TOP_PER_COMMUNITY, TOP_SINGLE
 from threadlens.checks.views import (
     COMMENTS,
     LINE_COMMENTS,
+    LONG_THREADS,
     ORDER_POSTS,
     POSTS,
     RESPONSES,
     with_views,
 )
-from threadlens.functions.text import FULLWIDTH, HALFWIDTH
 
 # White space as Python has it, in RE2 notation and as a list for trim.
 _SPACES = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -17,7 +17,9 @@ _CODES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 82
 _TRIMMED = " || ".join(f"chr({code})" for code in _CODES)
 _URL = f"https?://[^{_SPACES}]+"
 _IMAGE = rf"{_URL}\.(?:jpg|jpeg|png|gif)"
-_FULL, _HALF = FULLWIDTH.replace("'", "''"), HALFWIDTH.replace("'", "''")
+# Full-width forms and the ASCII signs 0xFEE0 below them, by code point.
+_FULL = "".join(chr(code) for code in range(0xFF01, 0xFF5F))
+_HALF = "".join(chr(code - 0xFEE0) for code in range(0xFF01, 0xFF5F)).replace("'", "''")
 
 
 def _ascii(text: str) -> str:
@@ -185,6 +187,8 @@ ORACLE_SQL: dict[str, str] = {
         {_JOINED_THREADS.format(posts="posts")}""",
     "thread_text_orders": f"""{with_views(ORDER_POSTS, LINE_COMMENTS)}, {_THREADS.format(comments="line_comments")}
         {_JOINED_THREADS.format(posts="order_posts")}""",
+    "thread_text_long": f"""{with_views(LONG_THREADS)}, {_THREADS.format(comments="long_threads")}
+        select post_id, body_text from threads""",
     "analysis_prompt": f"{with_views(POSTS)} select post_id, {_PROMPT} prompt from posts",
     "generalize_prompt": f"""{with_views(RESPONSES)}, {_OBJECTS}, {_ANALYSED}
         select post_id, 'Specific complaint: ' || user_complaint || chr(10) || 'Provide a more general version:' prompt

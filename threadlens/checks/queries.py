@@ -14,7 +14,7 @@ from threadlens.operators.decision import decide
 from threadlens.operators.models import FunctionModel, Replay
 from threadlens.operators.progress import pending, totals
 from threadlens.operators.ranking import top_overall, top_per_community
-from threadlens.operators.threads import join_threads
+from threadlens.operators.threads import join_threads, thread_texts
 from threadlens.operators.tree import flatten
 from threadlens.plans.condense import condense, condense_outcomes
 from threadlens.plans.ingest import ingest_comments, ingest_posts
@@ -109,6 +109,10 @@ def thread_text_orders(spark: SparkSession, sf: str) -> DataFrame:
     return join_threads(posts, lines).select("post_id", "has_comments", "body_text")
 
 
+def thread_text_long(spark: SparkSession, sf: str) -> DataFrame:
+    return thread_texts(views.view(spark, sf, views.LONG_THREADS))
+
+
 def analysis_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return views.posts(spark, sf).select(
         "post_id", P.analysis_prompt(F.col("title"), F.col("self_text")).alias("prompt")
@@ -381,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_tree": flatten_tree,
     "thread_text": thread_text,
     "thread_text_orders": thread_text_orders,
+    "thread_text_long": thread_text_long,
     "analysis_prompt": analysis_prompt,
     "generalize_prompt": generalize_prompt,
     "answer_prompt": answer_prompt,

@@ -107,6 +107,14 @@ line_comments as (
          else concat(l_returnflag, l_linestatus, ' ', cast(l_partkey as string), ' ', cast(l_suppkey as string)) end body
   from @lineitem)"""
 
+# A handful of threads, each with a good part of all lines as its comments.
+LONG_THREADS = """
+long_threads as (
+  select cast(l_linenumber as string) post_id, l_orderkey seq,
+    case when l_returnflag = 'R' then null
+         else concat(l_returnflag, l_linestatus, ' ', cast(l_partkey as string), ' ', cast(l_suppkey as string)) end body
+  from @lineitem)"""
+
 
 # The columns the views read; naming them spares a look into each file first.
 _COLUMNS = {

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.operators.copies import one_of_each
 from threadlens.storage import fits_broadcast
 
 
@@ -13,11 +12,11 @@ def thread_texts(comments: DataFrame) -> DataFrame:
     Bodies are joined by newlines and null bodies skipped; a thread of nothing but
     null bodies is empty text. A thread is always whole, however long: it is one value
     of the result, and only its post's rows meet in the task that puts it together.
-    Of several rows with one `seq` in a post one counts.
+    Rows of a post that are equal in `seq` and body count once.
     """
     # Gathering shrinks nothing, so combining in the map tasks would be in vain: the
     # explicit shuffle by key leaves it out.
-    return _joined(comments.repartition("post_id"))
+    return _joined(comments.select("post_id", "seq", "body").repartition("post_id"))
 
 
 def join_threads(posts: DataFrame, comments: DataFrame) -> DataFrame:
@@ -41,7 +40,6 @@ def threads_for_prompts(comments: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def _joined(comments: DataFrame) -> DataFrame:
-    rows = one_of_each(comments.select("post_id", "seq", "body"), ["post_id", "seq"])
-    bodies = F.sort_array(F.collect_list(F.struct("seq", "body")))
+    bodies = F.sort_array(F.collect_set(F.struct("seq", "body")))
     text = F.array_join(F.transform(bodies, lambda row: row["body"]), "\n")
-    return rows.groupBy("post_id").agg(text.alias("body_text"))
+    return comments.groupBy("post_id").agg(text.alias("body_text"))
