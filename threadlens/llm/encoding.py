@@ -9,6 +9,7 @@ new ones only; the texts themselves are cut and put together by Arrow and numpy.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,7 @@ ASKED = 1_000
 # Texts are handled in runs of about so many bytes (a longer one alone).
 RUN_BYTES = 8 << 20
 
+_LIBC = ctypes.CDLL(None)
 _SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RUNS = rf"[{_SPACE}][{_SPACE}]|^[{_SPACE}]|[{_SPACE}]$|\x00|[^ \nA-Za-z0-9\P{{Z}}]|[\t\x0b\f\r\x1c-\x1f\x{{85}}]"
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
@@ -45,6 +47,14 @@ def runs_of(texts: pa.Array) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(ends, before + RUN_BYTES, "right")))
         yield texts.take(pa.array(np.arange(start, stop)))
         start = stop
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives through many stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 class ChunkEncoder:
