@@ -304,3 +304,30 @@ def test_blocks_share_words(spark):
     frame = spark.createDataFrame([(1, " ".join(w)), (1, " ".join(w)), (2, "none")], "doc_id long, text string")
     pick = lambda f: sorted((r.doc_id, r.n_hit, r["items"]) for r in f.collect())
     assert pick(contamination(frame, benchmark, block_words=12)) == pick(contamination(frame, benchmark))
+
+
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_decontamination_in_blocks(spark, odd, mode):
+    """A benchmark of any size gives the whole result, as in one pass."""
+    rnd = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(400)]
+    items = [(f"i{i}", " ".join(rnd.choice(words, 14))) for i in range(30)] + [("s", "short one"), (None, None)]
+    a, b = items[0][1].split(), items[1][1].split()
+    texts = [" ".join([*rnd.choice(words, 20), items[i % 30][1], *rnd.choice(words, 20)]) for i in range(60)]
+    # The cut of one item's words brings together those of another.
+    texts += [" ".join([*b[:7], *a, *b[7:]]), " ".join(rnd.choice(words, 60)), None, "", texts[0], "short one"]
+    schema = "doc_id long, text string, n_chars int"
+    docs = spark.createDataFrame([(i % 50 or None, t, 0) for i, t in enumerate(texts)], schema)
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    whole = sorted(map(str, decontaminate(docs, benchmark, mode=mode).collect()))
+    assert sorted(map(str, decontaminate(docs, benchmark, mode=mode, block_words=300).collect())) == whole
+    assert decontaminate(odd, benchmark, mode=mode, block_words=300).columns == odd.columns
+    assert decontaminate(odd, benchmark, mode=mode, block_words=300).count() == len(ODD)
+
+
+def test_pipeline_stage_takes_a_large_benchmark(spark):
+    """More than a million words: refused before."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "nothing of it")], "doc_id long, text string")
+    items = [(f"i{i}", f"x{i} " * 50_000) for i in range(12)] + [("hit", "a b c d e f g h i j")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    assert [r.doc_id for r in decontaminate(docs, benchmark).collect()] == [2]

@@ -4,7 +4,7 @@ The benchmark's windows of ten normalised words go to every task as a hash set;
 task reads each text once, numbers its words by the benchmark's own vocabulary (any
 other word breaks a window), looks up window hashes and confirms each hit word by
 word. The set is bounded: a benchmark of more than `BLOCK_WORDS` words is taken in
-blocks of items, one pass over the documents each.
+blocks of items, one pass over the documents each; so does the removal.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.encoding import runs_of
-from threadlens.storage import stored
+from threadlens.storage import key_side, stored
 
 WINDOW = 10
 # Words of benchmark text whose windows are sent to executors at once (some 200 bytes each).
@@ -122,6 +123,21 @@ def _scanner(index: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return scan
 
 
+def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
+    """The items (`item_id`, `text`) in parts of about `block_words` words each."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    # A word takes two bytes of text at least, with the gap after it.
+    size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+    blocks = int(size // block_words) + 1
+    if blocks == 1:
+        return [items]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) for block in range(blocks)]
+
+
+def _windows(block: DataFrame, window: int) -> Windows:
+    return Windows([tuple(r) for r in block.collect()], window)
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Which words of each document lie in a window of the benchmark.
 
@@ -134,18 +150,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     not listed; items that share an id are one. Documents keep their rows, also
     repeated ones and those without id. An empty benchmark hits nothing.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # A word takes two bytes of text at least, with the gap after it.
-    size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    blocks = int(size // block_words) + 1
-    if blocks == 1:
-        return rows.mapInArrow(_scanner(Windows([tuple(r) for r in items.collect()], window)), SCAN)
-    passes = []
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = Windows([tuple(r) for r in part.collect()], window)
-        passes.append(stored(rows.mapInArrow(_scanner(index), SCAN), "windows"))
+    blocks = _blocks(benchmark, block_words)
+    if len(blocks) == 1:
+        return rows.mapInArrow(_scanner(_windows(blocks[0], window)), SCAN)
+    passes = [stored(rows.mapInArrow(_scanner(_windows(block, window)), SCAN), "windows") for block in blocks]
     more = passes[1]
     for other in passes[2:]:
         more = more.unionByName(other)
@@ -209,16 +218,35 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*(x.rstrip(b" ") for x in out), raw[at:].lstrip(b" ")]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mode: str = "documents") -> DataFrame:
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    mode: str = "documents",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """The documents without benchmark passages, with their own columns.
 
     `mode='documents'` leaves out every document with a hit; `mode='spans'` cuts the
     hit words out of `text`, again until no window is left (`n_chars`, if there, is
-    set anew). All other documents stay as they are.
+    set anew). All other documents stay as they are. The benchmark may have any size:
+    beyond `block_words` words it is taken in blocks, with the same result.
     """
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    index = Windows([tuple(r) for r in _bounded_items(benchmark).collect()], window)
+    blocks = _blocks(benchmark, block_words)
     spans = mode == "spans"
+    if len(blocks) == 1:
+        out = _cleaned(docs, _windows(blocks[0], window), spans)
+    else:
+        out = _cleaned_in_blocks(docs, blocks, window, spans)
+    if spans and "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.length("text").cast(kind))
+    return out
+
+
+def _cleaned(docs: DataFrame, index: Windows, spans: bool) -> DataFrame:
+    """`decontaminate` in one pass, by the windows of all items."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = index.vocabulary.get
@@ -238,16 +266,48 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    out = docs.toDF(*names.values()).mapInArrow(clean, docs.toDF(*names.values()).schema).toDF(*docs.columns)
-    if spans and "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.length("text").cast(kind))
-    return out
+    return docs.toDF(*names.values()).mapInArrow(clean, docs.toDF(*names.values()).schema).toDF(*docs.columns)
 
 
-def _bounded_items(benchmark: DataFrame) -> DataFrame:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    if size > BLOCK_WORDS:
-        raise ValueError("a benchmark of this size needs find_windows, which takes it in blocks")
-    return items
+def _hits(rows: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """The rows with a hit, once per block that has one: `doc_id`, `spans`."""
+    found = []
+    for block in blocks:
+        hit = rows.mapInArrow(_scanner(_windows(block, window)), SCAN).where("size(spans) > 0")
+        found.append(stored(hit.select("doc_id", "spans"), "hits"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, own in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
+            # Spans of different blocks may overlap.
+            merged = _merged([(s["first"], s["words"], set()) for s in own or []])
+            texts.append(without_spans(text, [(s["first"], s["words"]) for s in merged]) if merged else text)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def _cleaned_in_blocks(docs: DataFrame, blocks: list[DataFrame], window: int, spans: bool) -> DataFrame:
+    """`decontaminate` in a pass per block; only what is hit is written in between.
+
+    Whether and where a text is hit depends on the text alone, so a hash of it stands
+    for all its rows.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    hits = _hits(rows, blocks, window)
+    keys = stored(hits.select(F.col("doc_id").alias("_hit")).distinct(), "hit_texts")
+    if not spans:
+        return docs.join(key_side(keys), F.xxhash64(text) == F.col("_hit"), "left_anti")
+    now = rows.join(key_side(keys), F.col("doc_id") == F.col("_hit"), "left_semi").dropDuplicates(["doc_id"])
+    # A cut joins words that were apart, which may make a window of any block.
+    while not hits.isEmpty():
+        own = hits.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        now = now.join(own, "doc_id", "left").select("doc_id", "text", "spans")
+        now = stored(now.mapInArrow(_cut, "doc_id long, text string"), "cut_texts")
+        hits = _hits(now, blocks, window)
+    new = now.select(F.col("doc_id").alias("_hit"), F.col("text").alias("_text"))
+    out = docs.join(new, F.xxhash64(text) == F.col("_hit"), "left")
+    kind = docs.schema["text"].dataType
+    return out.withColumn("text", F.coalesce(F.col("_text").cast(kind), "text")).select(*docs.columns)
