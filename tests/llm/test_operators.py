@@ -226,6 +226,18 @@ def test_urls(spark):
     assert judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_words_are_known_however_rare(spark):
+    """More distinct words than a table of 50,000 held: a name of a rare one is not unknown."""
+    letters = "abcdefghij"
+    many = ["q" + "".join(letters[int(d)] for d in f"{i:05d}") for i in range(60_000)]
+    pages = [(0, "http://zebrafish.example/garden/zebrafishgarden/9", "<p>zebrafish</p>"), (1, None, " ".join(["garden"] * 9))]
+    pages += [(2 + k, "http://x", " ".join(many[k::6] * 2)) for k in range(6)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.tokens for r in judge_urls(frame).collect()}
+    assert got[0] == ["h:zebrafish", "h:?", "p:garden", "p:zebrafish", "p:garden", "p:#"]
+    assert got[1] == [] and got[2] == ["h:?"]
+
+
 def test_segmenter_finds_the_likeliest_words():
     cut = Segmenter({"cheap": 10, "pills": 10, "che": 1, "ap": 1, "a": 50}).cut
     assert cut("cheappills") == ["cheap", "pills"] and cut("") == [] and "".join(cut("zzcheapq")) == "zzcheapq"

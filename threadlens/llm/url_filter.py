@@ -5,6 +5,9 @@ names are cut into words by a Viterbi pass over unigram counts of the pages' own
 words, and a multinomial naive Bayes model scores the words. It learns from all
 pages: those that name a word of the seed list are examples of what to block, the
 others of what to allow.
+
+Word counts, names, cuts and token weights are tables of any size: each distinct name
+is cut once, by the counted words that occur in it.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.storage import stored
+from threadlens.storage import key_side, stored
 
 # Rules: verdict, host, path. A rule fits its host and all subdomains below its path.
 RULES = [
@@ -35,11 +38,8 @@ SEEDS = (
     "tracker viagra warez xxx"
 ).split()
 
-# The unigram table holds so many of the most frequent words, and words of so many letters.
-WORDS = 50_000
+# The unigram table holds words of so many letters.
 LONGEST = 24
-# A worker remembers the cut of so many names.
-REMEMBERED = 200_000
 _NAME = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -69,15 +69,13 @@ class Segmenter:
     likely cuts the one with the longest last word is taken.
     """
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None):
+        """`total` and `longest` (letters) are those of a larger table that `counts` is taken from."""
+        self.total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=1)
-        self.known: dict[str, list[str]] = {}
+        self.longest = max(map(len, counts), default=1) if longest is None else longest
 
     def cut(self, name: str) -> list[str]:
-        if name in self.known:
-            return self.known[name]
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             options = []
@@ -94,70 +92,96 @@ class Segmenter:
         while end:
             words.append(name[back[end] : end])
             end = back[end]
-        if len(self.known) < REMEMBERED:
-            self.known[name] = words[::-1]
         return words[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Host and path words; numbers and unknown words count as such."""
-        out = []
-        for part, sign in ((host, "h:"), (path.lower(), "p:")):
-            for name in _NAME.findall(part):
-                if name.isdigit():
-                    out.append(sign + "#")
-                else:
-                    out += [sign + (w if w in self.cost else "?") for w in self.cut(name)]
-        return out
-
-
-def word_counts(pages: DataFrame, words: int = WORDS) -> dict[str, int]:
-    """The most frequent lower-case words in the visible text of all pages.
-
-    Counted over all pages. Words of less than some count are left out, so that at most
-    `words` are left; the count is found from a histogram of counts, in sixteenths of an
-    octave. Hosts and paths
-    are left out: a concatenated name must not count as a word.
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """`word`, `count`: all lower-case words in the visible text of all pages.
+
+    Hosts and paths are left out: a concatenated name must not count as a word.
     """
     visible = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     found = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word"))
-    found = found.where(f"length(word) between 1 and {LONGEST}").groupBy("word").count()
-    found = stored(found.withColumn("step", F.floor(16 * F.log2("count")).cast("int")), "words")
-    steps = found.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
-    least, taken = 1 << 30, 0
-    for step in steps:
-        taken += step["n"]
-        if taken > words:
-            break
-        least = step["step"]
-    return {r["word"]: r["count"] for r in found.where(F.col("step") >= least).collect()}
-
-
-def _tokens(segmenter: Segmenter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return stored(found.where(f"length(word) between 1 and {LONGEST}").groupBy("word").count(), "words")
+
+
+def _with_seeds(counts: DataFrame, seeds: list[str]) -> tuple[DataFrame, int, int]:
+    """The word table with the seeds, its total and the letters of its longest word.
+
+    A seed is a word wherever it can be one.
+    """
+    known = {r["word"]: r["count"] for r in counts.where(F.col("word").isin(*seeds)).collect()}
+    sums = counts.agg(F.sum("count").alias("total"), F.max(F.length("word")).alias("longest")).first()
+    total = sums["total"] or 0
+    for seed in seeds:
+        count = max(known.get(seed, 0), 1 + total // 10_000)
+        total += count - known.get(seed, 0)
+        known[seed] = count
+    own = counts.sparkSession.createDataFrame([*known.items()], counts.schema)
+    longest = max([sums["longest"] or 0, *map(len, known)]) or 1
+    return counts.where(~F.col("word").isin(*known)).unionByName(own), total, longest
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of host and path in order, each behind its sign; a number is `#`."""
+    for batch in batches:
+        names = []
+        for host, path in zip(batch["host"].to_pylist(), batch["path"].to_pylist()):
+            parts = [(sign, x) for text, sign in ((host, "h:"), (path.lower(), "p:")) for x in _NAME.findall(text)]
+            names.append([sign + ("#" if x.isdigit() else x) for sign, x in parts])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names, "names"]
+        )
+
+
+def _cutter(total: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch["host"].to_pylist(), batch["path"].to_pylist())
-            tokens = pa.array([segmenter.tokens(h, p) for h, p in pairs], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, tokens], names=[*batch.schema.names, "tokens"])
+            cuts = []
+            for name, words in zip(batch["name"].to_pylist(), batch["words"].to_pylist()):
+                counts = {w["word"]: w["count"] for w in words}
+                cuts.append([w if w in counts else "?" for w in Segmenter(counts, total, longest).cut(name)])
+            yield pa.RecordBatch.from_arrays([batch["name"], pa.array(cuts, pa.list_(pa.string()))], names=["name", "cut"])
 
     return cut
 
 
-def _scored(weights: dict[str, float], bias: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [bias + sum(weights.get(t, 0.0) for t in row) for row in batch["tokens"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sums, pa.float64())], names=[*batch.schema.names, "score"]
-            )
-
-    return score
+def cut_names(names: DataFrame, counts: DataFrame, total: int, longest: int) -> DataFrame:
+    """`name`, `cut`: the likeliest words of each (distinct, stored) name; unknown words are `?`."""
+    pieces = F.expr(
+        "array_distinct(flatten(transform(sequence(1, length(name)), i -> "
+        f"transform(sequence(1, least({longest}, length(name) - i + 1)), n -> substring(name, i, n)))))"
+    )
+    found = names.select("name", F.explode(pieces).alias("word")).join(counts, "word")
+    found = found.groupBy("name").agg(F.collect_list(F.struct("word", "count")).alias("words"))
+    none = F.array().cast("array<struct<word:string,count:bigint>>")
+    own = names.join(found, "name", "left").select("name", F.coalesce("words", none).alias("words"))
+    return stored(own.mapInArrow(_cutter(total, longest), "name string, cut array<string>"), "cuts")
+
+
+def url_tokens(rows: DataFrame, counts: DataFrame, total: int, longest: int) -> DataFrame:
+    """`rows` (with `host`, `path`, not null) with `tokens`: signed words of host and path in
+    order, where numbers and unknown words count as such. A column `_row` tells rows apart."""
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", names array<string>"
+    rows = stored(rows.mapInArrow(_names, schema), "url_names")
+    name = F.expr("substring(signed, 3)").alias("name")
+    uses = rows.select(F.explode("names").alias("signed")).distinct().where("signed not in ('h:#', 'p:#')")
+    cuts = cut_names(stored(uses.select(name).distinct(), "names"), counts, total, longest)
+    own = [c for c in rows.columns if c != "names"]
+    placed = rows.select(*own, F.posexplode_outer("names").alias("_at", "signed"))
+    placed = placed.withColumn("name", name).join(key_side(cuts), "name", "left")
+    words = F.coalesce("cut", F.array(F.lit("#")))
+    signed = F.transform(words, lambda w: F.concat(F.substring("signed", 1, 2), w))
+    part = F.when(F.col("_at").isNotNull(), F.struct("_at", signed.alias("own")))
+    parts = F.array_sort(F.collect_list(part))
+    return placed.groupBy(*own).agg(F.flatten(F.transform(parts, lambda x: x["own"])).alias("tokens"))
 
 
 def judge_urls(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] = RULES,
     seeds: list[str] = SEEDS,
-    words: int = WORDS,
 ) -> DataFrame:
     """`page_id`, `host`, `path`, `rule`, `verdict`, `tokens` and `score` of each URL.
 
@@ -167,33 +191,31 @@ def judge_urls(
     input row, also for repeated rows; an empty table gives no rows. Other columns
     are ignored.
     """
-    counts = word_counts(pages, words)
-    for seed in seeds:
-        # A seed is a word wherever it can be one.
-        counts[seed] = max(counts.get(seed, 0), 1 + sum(counts.values()) // 10_000)
+    counts, total, longest = _with_seeds(word_counts(pages), seeds)
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    cut = stored(
-        rows.mapInArrow(_tokens(Segmenter(counts)), "page_id long, host string, path string, tokens array<string>"),
-        "url_tokens",
-    )
     wanted = F.array(*(F.lit(f"{sign}{x}") for x in sorted(seeds) for sign in ("h:", "p:")))
-    marked = cut.withColumn("_bad", F.arrays_overlap("tokens", wanted).cast("long"))
+    bad = F.arrays_overlap("tokens", wanted).cast("long")
+    marked = stored(url_tokens(rows, counts, total, longest).withColumn("_bad", bad), "url_tokens")
     pages_of = marked.agg(F.count("*").alias("n"), F.sum("_bad").alias("bad")).first()
-    n, bad = pages_of["n"], pages_of["bad"] or 0
-    # Tokens are words of the bounded table, so these are at most two rows for each of its words.
+    n, n_bad = pages_of["n"], pages_of["bad"] or 0
     table = marked.select(F.explode("tokens").alias("token"), "_bad").groupBy("token").agg(
         F.sum("_bad").alias("bad"), F.sum(1 - F.col("_bad")).alias("good")
     )
-    seen = [(r["token"], r["bad"], r["good"]) for r in table.collect()]
-    all_bad, all_good = sum(r[1] for r in seen) + len(seen) + 1, sum(r[2] for r in seen) + len(seen) + 1
-    weights = {t: math.log((b + 1) / all_bad) - math.log((g + 1) / all_good) for t, b, g in seen}
-    bias = math.log((bad + 1) / (n - bad + 1))
+    table = stored(table, "tokens")
+    seen = table.agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    all_bad, all_good = ((seen[c] or 0) + seen["n"] + 1 for c in ("bad", "good"))
+    weight = F.log((F.col("bad") + 1) / F.lit(all_bad)) - F.log((F.col("good") + 1) / F.lit(all_good))
+    weights = stored(table.select("token", weight.alias("_weight")), "weights")
+    bias = math.log((n_bad + 1) / (n - n_bad + 1))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    scored = cut.mapInArrow(
-        _scored(weights, bias), "page_id long, host string, path string, tokens array<string>, score double"
-    )
-    own = F.when(F.col("score") > 0, "block").otherwise("allow")
+    own = ["_row", "page_id", "host", "path", "tokens"]
+    placed = marked.select(*own, F.posexplode_outer("tokens").alias("_at", "token")).join(key_side(weights), "token", "left")
+    # Added in order of the tokens: the same sum however rows are dealt out.
+    parts = F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_weight"))))
+    score = F.aggregate(parts, F.lit(0.0), lambda done, x: done + x["_weight"]) + F.lit(bias)
+    scored = placed.groupBy(*own).agg(score.alias("score"))
+    decided = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "tokens", "score"
+        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, decided).alias("verdict"), "tokens", "score"
     )
