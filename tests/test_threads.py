@@ -34,3 +34,29 @@ def test_usual_threads_take_one_shuffle_and_no_map_side_gathering(spark, tmp_pat
     comments = spark.read.parquet(f"{tmp_path}/c")
     plan = T.thread_texts(comments)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_runs_of_a_thread_join_to_the_same_text(spark, monkeypatch):
+    """Whatever the bounds of runs: order, repeated rows, null and empty bodies."""
+    rows = [("a", i % 40 or None, [None, "", f"b{i % 80}", "x" * (i % 30)][i % 4]) for i in range(240)]
+    rows += [("n", i, None) for i in range(30)] + [("e", 1, ""), ("e", 2, None), ("e", 3, ""), (None, 1, "z")]
+    comments = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = {}
+    for post, seq, body in sorted(set(rows), key=lambda r: (r[0] or "", r[1] or -1, r[2] is not None, r[2] or "")):
+        want.setdefault(post, []).extend([] if body is None else [body])
+    want = {post: "\n".join(bodies) for post, bodies in want.items()}
+    for size in (1, 100, 1 << 18):
+        monkeypatch.setattr(T, "RUN_BYTES", size)
+        assert {r["post_id"]: r["body_text"] for r in T.thread_texts(comments).collect()} == want
+
+
+def test_no_row_gathers_the_comments_of_a_long_thread(spark, monkeypatch):
+    """Bodies meet in runs; before, one buffer held every comment row of a post."""
+    sizes = []
+    inner = T._text
+    monkeypatch.setattr(T, "_text", lambda place, text: sizes.append((place, text)) or inner(place, text))
+    comments = spark.createDataFrame([("a", i, "body") for i in range(20_000)], SCHEMA)
+    assert T.thread_texts(comments).first()["body_text"] == "\n".join(["body"] * 20_000)
+    assert sizes == [("_at", "body"), ("_run", "_text")]
+    plan = T.thread_texts(comments)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "_run" in plan

@@ -1,10 +1,15 @@
 """From comment rows to the text of a thread."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.storage import fits_broadcast
 
+# Neighbouring comments are put together in runs of about so many bytes first.
+RUN_BYTES = 1 << 18
+# What a comment weighs in a run besides its body.
+ROW_BYTES = 64
+
 
 def thread_texts(comments: DataFrame) -> DataFrame:
     """`post_id, body_text`: comment bodies in order of `seq`, one row per post.
@@ -40,6 +45,26 @@ def threads_for_prompts(comments: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def _joined(comments: DataFrame) -> DataFrame:
-    bodies = F.sort_array(F.collect_set(F.struct("seq", "body")))
-    text = F.array_join(F.transform(bodies, lambda row: row["body"]), "\n")
-    return comments.groupBy("post_id").agg(text.alias("body_text"))
+    """Rows of a post are sorted and numbered by windows, which spill, and joined in
+    bounded runs; only the texts of the runs meet in one row. All of it keeps the rows
+    where the first window has them."""
+    order = Window.partitionBy("post_id").orderBy("seq", "body")
+    again = F.lag("seq").over(order).eqNullSafe(F.col("seq")) & F.lag("body").over(order).eqNullSafe(F.col("body"))
+    again = again & (F.row_number().over(order) > 1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weight = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long") + ROW_BYTES
+    numbered = comments.select(
+        "post_id",
+        "body",
+        again.alias("_again"),
+        F.row_number().over(order).alias("_at"),
+        F.floor(F.sum(weight).over(so_far) / RUN_BYTES).alias("_run"),
+    ).where("not _again")
+    # A run of nothing but null bodies is null, not empty text.
+    runs = numbered.groupBy("post_id", "_run").agg(F.when(F.count("body") > 0, _text("_at", "body")).alias("_text"))
+    return runs.groupBy("post_id").agg(_text("_run", "_text").alias("body_text"))
+
+
+def _text(place: str, text: str) -> Column:
+    rows = F.sort_array(F.collect_list(F.struct(F.col(place).alias("at"), F.col(text).alias("text"))))
+    return F.array_join(F.transform(rows, lambda row: row["text"]), "\n")
