@@ -240,7 +240,10 @@ def _star_pairs(entries: DataFrame, seed: int, percent: int) -> DataFrame:
 
 
 def _last_pairs(entries: DataFrame, stars: list[DataFrame], percent: int) -> DataFrame:
-    """All pairs of different components that may still link."""
+    """All pairs of different components that may still link.
+
+    `stars` must hold ids with one text only: the overlap of one text bounds no other's.
+    """
     sizes = entries.groupBy("tok", "comp").agg(F.count("*").alias("k"))
     lists = sizes.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
     open_ = entries.join(lists.select("tok", F.col("m.comp").alias("major")), "tok")
@@ -319,6 +322,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         stars.append(stored(overlaps(pairs, texts, words), "overlaps"))
         links.append(_linked(stars[-1], percent))
         comps = stored(components(reduce(DataFrame.unionByName, links)), "components")
+    nonempty = sets.where("n > 0 and doc_id is not null")
+    several = nonempty.groupBy("doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi")
+    several = key_side(stored(several.select("doc_id"), "several_texts"))
+    for side in ("a", "b"):
+        stars = [x.join(several.withColumnRenamed("doc_id", side), side, "left_anti") for x in stars]
     pairs = stored(
         _last_pairs(_with_components(entries, comps), stars, percent), "pairs"
     )
