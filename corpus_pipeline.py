@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.llm.decontamination import decontaminate
-from threadlens.llm.jaccard import keep_one
+from threadlens.llm.jaccard import keep_one_row
 from threadlens.llm.line_dedup import dedup_lines
 from threadlens.llm.packing import pack_documents
 from threadlens.llm.quality_classifier import keep_quality
@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return keep_one(docs)
+    """One row of each group of near copies stays, also of rows without id or under one id."""
+    return keep_one_row(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

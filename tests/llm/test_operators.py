@@ -13,7 +13,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from threadlens.llm.decontamination import contamination, decontaminate, find_windows
 from threadlens.llm.encoding import encoder
-from threadlens.llm.jaccard import keep_one, near_duplicates, shingle_sets
+from threadlens.llm.jaccard import keep_one, keep_one_row, near_duplicates, shingle_sets
 from threadlens.llm.language import identify_languages
 from threadlens.llm.line_dedup import dedup_lines
 from threadlens.llm.packing import cutting_plan, pack_documents
@@ -279,6 +279,18 @@ def test_near_duplicates(spark, odd, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_a_group_stays_whatever_its_id(spark, odd, empty):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, a), (3, a), (2, a + " more"), (None, a), (None, a), (None, b), (None, b), (9, b + " x"), (9, "c d"), (None, "e"), (None, "e")]
+    rows += [(None, None), (None, None), (4, ""), (4, "")]
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    kept = keep_one_row(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(2, a + " more"), (9, b + " x"), (9, "c d"), (None, "e"), (None, None), (None, None), (4, ""), (4, "")], key=str)
+    assert keep_one_row(odd).count() == len(ODD) - 1 and keep_one_row(empty).count() == 0
+
+
 def test_an_id_with_several_texts_bounds_none_of_them(spark):
     """The overlap of one text with a common centre says nothing of the id's other text."""
     rows = spark.range(1, 4_000).selectExpr("id", "xxhash64(id) h", *(f"xxhash64(id, {t}L, 1) h{t}" for t in range(8))).collect()
