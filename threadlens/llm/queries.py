@@ -7,14 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from threadlens.llm.conversations import damaged, repair_conversations
 from threadlens.llm.decontamination import contamination
+from threadlens.llm.exact_dedup import dedup_exact_files
 from threadlens.llm.jaccard import near_duplicates
 from threadlens.llm.language import identify_languages
 from threadlens.llm.line_dedup import dedup_lines
 from threadlens.llm.packing import pack_documents
 from threadlens.llm.quality_classifier import score_quality
 from threadlens.llm.quality_rules import judge_rules
-from threadlens.llm.sql import OP4_SQL, OP10_SQL
+from threadlens.llm.sql import OP4_SQL, OP10_SQL, OP11_SQL, OP12_SQL
 from threadlens.llm.token_counts import count_tokens
 from threadlens.llm.token_files import read_token_shards, write_token_shards
 from threadlens.llm.url_filter import judge_urls
@@ -83,6 +85,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with planted faults, repaired."""
+    return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies in all documents."""
+    return dedup_exact_files(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -94,5 +106,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_exact_dedup": op12_exact_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
+    "op10_decontamination": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op10_decontamination": OP10_SQL}

@@ -80,3 +80,86 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars
          AND dots / lines <= 0.5 AND bullets / lines <= 0.9 AS kept
 FROM judged
 """
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS norm FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY norm)
+"""
+
+# CRC-32 bit by bit; the keys are ASCII. The programme keeps, per place in the pattern, the
+# least (cost, edits) as text, so that its order needs no ranks.
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+), hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])),
+      lambda c, i: xor(c // 2, CASE WHEN c % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))),
+    CAST(4294967295 AS BIGINT)) % 20 AS which
+  FROM keyed
+), harmed AS (
+  SELECT conv_id, turn, CASE WHEN which = 4 THEN 'user' ELSE role END AS role,
+         CASE which WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, (SELECT unnest([0, 1]) AS copy) WHERE which <> 0 AND (copy = 0 OR which = 3)
+), faults AS (
+  SELECT *, left(role, 1) AS initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn
+  FROM harmed
+), numbered AS (
+  SELECT *, CASE WHEN final = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 2 WHEN final NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) || initial AS pair
+  FROM faults
+), put_in AS (
+  SELECT * FROM (VALUES
+    (0, '', 0, ''), (0, 'I', 2, 'user:|'), (0, 'II', 3, 'user:|assistant:|'),
+    (1, '', 1, ''), (1, 'I', 2, 'user:|'), (1, 'II', 3, 'user:|assistant:|'),
+    (2, '', 2, ''), (2, 'I', 3, 'assistant:|'), (2, 'II', 2, 'assistant:|user:|'),
+    (3, '', 3, ''), (3, 'I', 2, 'user:|'), (3, 'II', 3, 'user:|assistant:|')) AS v(src, ins, mid, added)
+), edits AS (
+  SELECT * FROM (VALUES
+    (0, 'D', 0, '', 2, ''), (1, 'D', 1, '', 2, ''), (2, 'D', 2, '', 2, ''), (3, 'D', 3, '', 2, ''),
+    (0, 'K', 1, 's', 0, ''), (0, 'K', 2, 'u', 0, ''), (1, 'K', 2, 'u', 0, ''), (2, 'K', 3, 'a', 0, ''), (3, 'K', 2, 'u', 0, ''),
+    (0, 'R', 2, '', 1, 'user'), (1, 'R', 2, '', 1, 'user'), (2, 'R', 3, '', 1, 'assistant'), (3, 'R', 2, '', 1, 'user')
+    ) AS v(mid, edit, dst, initial, price, named)
+), moves AS (
+  SELECT src, dst, ins || edit AS added_edits, added, edit, e.initial, 5 * length(ins) + price AS price, named
+  FROM put_in p JOIN edits e ON e.mid = p.mid
+), programme AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS rn, 0 AS place,
+         {'cost': CAST(0 AS BIGINT), 'audit': '', 'body': CAST([] AS VARCHAR[])} AS best
+  FROM conversations
+  UNION ALL
+  SELECT p.conv_id, r.rn, m.dst,
+         min({'cost': p.best.cost + m.price + CASE WHEN m.edit <> 'D' AND r.fault = 3 THEN 5 ELSE 0 END,
+              'audit': p.best.audit || m.added_edits,
+              'body': list_concat(p.best.body, list_concat(
+                CAST(CASE m.added WHEN '' THEN [] ELSE string_split(rtrim(m.added, '|'), '|') END AS VARCHAR[]),
+                CAST(CASE m.edit WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [m.named || ':' || r.text] END AS VARCHAR[])))})
+  FROM programme p JOIN numbered r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.rn = p.rn + 1
+    JOIN moves m ON m.src = p.place AND (m.edit = 'D' OR (r.fault NOT IN (1, 2) AND (m.edit = 'R' OR m.initial = r.initial)))
+  GROUP BY p.conv_id, r.rn, m.dst
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM numbered GROUP BY conv_id
+), ended AS (
+  SELECT p.conv_id, min({'cost': p.best.cost + 5 * length(i.ins), 'audit': p.best.audit || i.ins,
+              'body': list_concat(p.best.body, CAST(CASE i.added WHEN '' THEN [] ELSE string_split(rtrim(i.added, '|'), '|') END AS VARCHAR[]))}) AS best
+  FROM programme p JOIN put_in i ON i.src = p.place AND i.mid IN (0, 3)
+    LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+  WHERE p.rn = coalesce(c.n, 0) GROUP BY p.conv_id
+)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(e.best.cost AS BIGINT) AS cost, e.best.audit AS audit,
+       sha256(array_to_string(e.best.body, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
