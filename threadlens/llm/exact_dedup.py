@@ -32,6 +32,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Files as large as their content: with many small partitions room set aside adds up.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
