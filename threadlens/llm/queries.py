@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from threadlens.llm.alignment import align_tokenizers
 from threadlens.llm.conversations import damaged, repair_conversations
 from threadlens.llm.decontamination import contamination
 from threadlens.llm.exact_dedup import dedup_exact_files
@@ -95,6 +96,15 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact_files(spark, f"{sf_dir}/documents.parquet")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over all documents."""
+    return align_tokenizers(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -108,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
