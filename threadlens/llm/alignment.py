@@ -31,6 +31,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -46,6 +47,8 @@ from threadlens.storage import stored
 RANGE_BYTES = 1 << 16
 # Fragments composed by one call.
 FAN_IN = 16
+# Runs of whole documents that make a block.
+BLOCK_BYTES = 4 << 20
 # Cells a worker remembers in each of two generations (some 400 bytes each).
 REMEMBERED = 150_000
 LONGEST_KEPT = 64
@@ -55,7 +58,6 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 # Texts with these are cut by the pattern above, all others by Arrow.
 _ODD = r"[ \n][ \n]|^[ \n]|\x00|[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]"
 _BLANK = re.compile(rb"[ \n]")
-_HEAD = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~].*)", re.DOTALL)
 
 _FRAGMENT = "has_end boolean, pre_a array<int>, pre_b array<int>, suf_a array<int>, suf_b array<int>"
 _SEAMS = "seams array<struct<at:int,a:array<int>,b:array<int>>>"
@@ -105,7 +107,7 @@ def _aligned(docs: DataFrame, file_a: str, file_b: str, range_bytes: int) -> tup
         cells = aligner(file_a, file_b)
         for batch in batches:
             start = 0
-            for run in runs_of(batch.column("text")):
+            for run in runs_of(batch.column("text"), BLOCK_BYTES):
                 ids = batch.column("doc_id").slice(start, len(run))
                 start += len(run)
                 yield from _whole_block(cells, ids, run)
@@ -114,7 +116,7 @@ def _aligned(docs: DataFrame, file_a: str, file_b: str, range_bytes: int) -> tup
         cells = aligner(file_a, file_b)
         for batch in batches:
             start = 0
-            for run in runs_of(batch.column("text")):
+            for run in runs_of(batch.column("text"), BLOCK_BYTES):
                 part = batch.slice(start, len(run))
                 start += len(run)
                 yield from _range_block(cells, part)
@@ -221,29 +223,21 @@ class CellAligner:
             and before.get("use_regex") is True
             and not any(re.search("[^▁]▁|\n", x) for x in pieces)
         )
-        self.heads: dict[str, list[int]] = {}
+        self.len_a = np.array([len(self.a_bytes.get(i, b"")) for i in range(self.a.get_vocab_size())], np.int64)
+        self.len_b = np.array([len(x) for x in self.b_bytes], np.int64)
+        # Each id as it is written before another of its list, and as the last of it.
+        self.list_a, self.last_a = _written(len(self.len_a), b","), _written(len(self.len_a), b"|")
+        self.list_b, self.last_b = _written(len(self.len_b), b","), _written(len(self.len_b), b";")
+        self.final_b = _written(len(self.len_b), b"\n")
         self.young: dict[str, Cell] = {}
         self.old: dict[str, Cell] = {}
 
     def tokens(self, cells: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers for each cell."""
-        if self.cuts:
-            # Letters and the ASCII signs after them are never joined by A.
-            parts = [m.groups() if (m := _HEAD.fullmatch(x)) and m[1].lstrip(" ").isalpha() else (x,) for x in cells]
-        else:
-            parts = [(x,) for x in cells]
-        if len(self.heads) > REMEMBERED:
-            self.heads = {}
-        known = self.heads
-        ask = [*{x for some in parts for x in some if x not in known}]
-        fresh: dict[str, list[int]] = {}
+        a = []
         # The library's results are large: a few at a time.
-        for at in range(0, len(ask), ASKED):
-            some = ask[at : at + ASKED]
-            for x, e in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False)):
-                fresh[x] = e.ids
-        a = [[i for x in some for i in (known[x] if x in known else fresh[x])] for some in parts]
-        known.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST_KEPT)
+        for at in range(0, len(cells), ASKED):
+            a += [e.ids for e in self.a.encode_batch_fast(cells[at : at + ASKED], add_special_tokens=False)]
         if self.cuts:
             # Behind a line feed no blank is added; it comes as two pieces of its own.
             b = [ids[2:] for ids in self.b.encode(["\n" + x for x in cells], num_threads=1)]
@@ -262,8 +256,9 @@ class CellAligner:
         """What each of these different cells comes to."""
         found = [*map(self.young.get, cells)]
         new = []
-        for at, (x, cell) in enumerate(zip(cells, found)):
+        for at, cell in enumerate(found):
             if cell is None:
+                x = cells[at]
                 cell = found[at] = self.old.get(x)
                 if cell is None:
                     new.append(at)
@@ -271,19 +266,70 @@ class CellAligner:
                     self.young[x] = cell
         for start in range(0, len(new), 16 * ASKED):
             some = new[start : start + 16 * ASKED]
-            for at, a, b in zip(some, *self.tokens([cells[i] for i in some])):
-                x = cells[at]
-                found[at] = self._cell(x, a, b)
+            names = [cells[at] for at in some]
+            for at, x, cell in zip(some, names, self._fresh(names)):
+                found[at] = cell
                 if len(x) <= LONGEST_KEPT:
-                    self.young[x] = found[at]
+                    self.young[x] = cell
             if len(self.young) > REMEMBERED:
                 self.old, self.young = self.young, {}
         return found
 
-    def _cell(self, x: str, a: list[int], b: list[int]) -> Cell:
-        if not self.faithful(x, a, b):
-            return Cell(0, 0, 0, b"", b"", True)
-        return summed_up(self.groups(a, b, 0, 1 << 62)[1])
+    def _fresh(self, cells: list[str]) -> list[Cell]:
+        a, b = self.tokens(cells)
+        flat_a, flat_b = (list(chain.from_iterable(x)) for x in (a, b))
+        data = "".join(cells).encode()
+        same = b"".join(map(self.b_bytes.__getitem__, flat_b)) == data
+        if same and b"".join([self.a_bytes.get(i, b"") for i in flat_a]) == data:
+            # All bytes are there again; whether each cell has its own follows from the ends.
+            sizes = np.fromiter(map(len, map(str.encode, cells)), np.int64, len(cells))
+            ends = np.cumsum(sizes)
+            own = [
+                np.array_equal(np.cumsum(lens[flat])[np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) - 1], ends)
+                for x, flat, lens in ((a, flat_a, self.len_a), (b, flat_b, self.len_b))
+            ]
+            if all(own):
+                return self._summed(a, b)
+        good = [i for i, x in enumerate(zip(cells, a, b)) if self.faithful(*x)]
+        out = [Cell(0, 0, 0, b"", b"", True)] * len(cells)
+        for i, cell in zip(good, self._summed([a[i] for i in good], [b[i] for i in good])):
+            out[i] = cell
+        return out
+
+    def _summed(self, a: list[list[int]], b: list[list[int]]) -> list[Cell]:
+        """`summed_up` of whole cells, all at once: laid one behind the other, the common ends
+        of their tokens number the groups."""
+        n = len(a)
+        if not n:
+            return []
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, n) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
+        common = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        # Links: each token of A with all of B in its group.
+        times = in_b[group_a]
+        partner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - before_b[group_a], times)
+        codes = (np.repeat(ids_a, times) << 32 | ids_b[partner]).astype("<i8").tobytes()
+        # Written form: a group's ids of A, then those of B.
+        more_a = np.append(group_a[1:] == group_a[:-1], False)
+        more_b = np.append(group_b[1:] == group_b[:-1], False)
+        words = np.empty(len(ids_a) + len(ids_b), object)
+        words[np.arange(len(ids_a)) + before_b[group_a]] = np.where(more_a, self.list_a[ids_a], self.last_a[ids_a])
+        text_b = np.where(more_b, self.list_b[ids_b], self.last_b[ids_b])
+        cell_ends = np.cumsum(n_b) - 1
+        text_b[cell_ends] = self.final_b[ids_b[cell_ends]]
+        words[np.arange(len(ids_b)) + (before_a + in_a)[group_b]] = text_b
+        bodies = b"".join(words.tolist()).split(b"\n")
+        ends = np.concatenate([[0], np.cumsum(times)])[np.cumsum(n_a)] * 8
+        groups = np.diff(group_b[cell_ends], prepend=-1)
+        starts = np.concatenate([[0], ends[:-1]])
+        return [
+            Cell(x, y, z, body, codes[s:e], False)
+            for x, y, z, body, s, e in zip(n_a.tolist(), n_b.tolist(), groups.tolist(), bodies, starts.tolist(), ends.tolist())
+        ]
 
     def groups(self, a: list[int], b: list[int], lo: int, hi: int):
         """Tokens that end beyond `lo` and up to `hi`, as (has a common end, groups, rest).
@@ -319,6 +365,10 @@ class CellAligner:
                 from_i, from_j = i, j
 
 
+def _written(size: int, end: bytes) -> np.ndarray:
+    return np.array([b"%d%s" % (i, end) for i in range(size)], object)
+
+
 def _byte_level() -> dict[str, int]:
     """The byte that each sign of a byte-level vocabulary stands for: printable bytes for
     themselves, all others in order from 256 on."""

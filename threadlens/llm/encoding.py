@@ -35,8 +35,8 @@ _ALONE = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~].*)", re.DOTALL)
 
 
-def runs_of(texts: pa.Array) -> Iterator[pa.Array]:
-    """Consecutive parts of about `RUN_BYTES` each.
+def runs_of(texts: pa.Array, size: int = RUN_BYTES) -> Iterator[pa.Array]:
+    """Consecutive parts of about `size` bytes each.
 
     They are copies: some string kernels of Arrow misread arrays with an offset.
     """
@@ -44,7 +44,7 @@ def runs_of(texts: pa.Array) -> Iterator[pa.Array]:
     start = 0
     while start < len(texts):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + RUN_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
         yield texts.take(pa.array(np.arange(start, stop)))
         start = stop
         _give_back()
