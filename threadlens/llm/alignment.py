@@ -670,7 +670,7 @@ def compose(left: dict, right: dict) -> dict:
     """Two neighbouring fragments as one; the group that closes between them is a seam."""
     out = {c: left[c] + right[c] for c in ("n_a", "n_b", "n_groups", "n_links")}
     out |= {"key": left["key"], "k": left["k"], "bad": left["bad"] or right["bad"]}
-    seams = left["seams"] + right["seams"]
+    between = []
     out |= {"has_end": left["has_end"] or right["has_end"], "last_k": left["last_k"]}
     for c in "ab":
         own, other = left[f"suf_{c}"] if left["has_end"] else left[f"pre_{c}"], right[f"pre_{c}"]
@@ -680,10 +680,10 @@ def compose(left: dict, right: dict) -> dict:
         out["last_k"] = right["last_k"]
         if left["has_end"]:
             a, b = (left[f"suf_{c}"] + right[f"pre_{c}"] for c in "ab")
-            seams = seams + [{"at": left["last_k"], "a": a, "b": b}]
+            between = [{"at": left["last_k"], "a": a, "b": b}]
             out["n_groups"] += 1
             out["n_links"] += len(a) * len(b)
-    return out | {"seams": seams}
+    return out | {"seams": left["seams"] + between + right["seams"]}
 
 
 def _long_documents(units: DataFrame) -> tuple[DataFrame, DataFrame]:
