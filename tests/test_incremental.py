@@ -148,3 +148,99 @@ def test_pending_posts_are_found_by_anti_join(spark, tmp_path):
     known = spark.createDataFrame([], "post_id string, status string, failures int")
     todo = I._with_rounds(make_posts(spark, range(3)), known, False)
     assert "LeftAnti" in todo._jdf.queryExecution().analyzed().toString()
+
+
+def failing_at(log, stage, fail=""):
+    """A model that fails in one stage on prompts with a certain text."""
+    model = make_model(log)
+    function, names = model.function, dict(NAMES)
+
+    def call(instruction, prompts):
+        if names[instruction] == stage and any(fail in p for p in prompts):
+            with log.open("a") as file:
+                file.writelines(f"failed {stage}\n" for _ in prompts)
+            raise ValueError(f"no {stage}")
+        return function(instruction, prompts)
+
+    return FunctionModel(call, batch_size=1)
+
+
+def test_failed_answers_get_another_try(spark, tmp_path, batch_result):
+    log, out, comments = tmp_path / "calls", f"{tmp_path}/out", make_comments(spark)
+    posts = make_posts(spark, range(20))
+    done = I.condense_incremental(posts, comments, failing_at(log, "answer"), out)
+    assert {r["solution"] for r in done.collect()} == {r["recommendation"] for r in done.collect()} == {"-999"}
+    letter = sorted(map(tuple, I.dead_letter(spark, out).select("post_id", "stage", "error", "rounds").collect()))
+    assert letter == [(f"p{i:02d}", "answer", "ValueError: no answer", 1) for i in range(0, 20, 2)]
+    # Without being asked to, nothing is tried again.
+    before = calls(log)
+    I.condense_incremental(posts, comments, make_model(log), out)
+    assert calls(log) == before
+    # Once more in vain for some, then for good; only answers are asked for.
+    I.condense_incremental(posts, comments, failing_at(log, "answer", "title 8"), out, retry_failed=True)
+    letter = I.dead_letter(spark, out).collect()
+    assert [(r["post_id"], r["stage"], r["rounds"]) for r in letter] == [("p08", "answer", 2)]
+    done = I.condense_incremental(posts, comments, make_model(log), out, retry_failed=True)
+    assert rows(done) == batch_result[0]
+    assert I.dead_letter(spark, out).count() == 0
+    asked = [c for c in calls(log) if not c.startswith("failed")]
+    assert asked == batch_result[1]
+    states = {r["post_id"]: (r["status"], r["answer_status"], r["failures"]) for r in I.ledger(spark, out).collect()}
+    assert (states["p08"], states["p06"], states["p07"]) == (("ok", "ok", 2), ("ok", "ok", 1), ("ok", None, 0))
+    # Nothing is left to retry.
+    again = I.condense_incremental(posts, comments, failing_at(log, "answer"), out, retry_failed=True)
+    assert rows(again) == batch_result[0] and "failed answer" not in calls(log)[len(before) + 60 :]
+
+
+@pytest.mark.parametrize("stage", ["analysis", "generalize", "answer"])
+def test_a_stream_retries_posts_of_files_read_before(spark, tmp_path, batch_result, stage):
+    log, out, comments = tmp_path / "calls", f"{tmp_path}/out", make_comments(spark)
+    arriving = f"{tmp_path}/arriving"
+    make_posts(spark, range(20)).repartition(3).write.mode("append").parquet(arriving)
+
+    def start(model, **options):
+        return I.condense_incremental(stream_posts(spark, arriving, files_per_batch=2), comments, model, out, **options)
+
+    start(failing_at(log, stage, "1"))
+    failed = I.dead_letter(spark, out).count()
+    assert failed > 0
+    done = start(make_model(log), retry_failed=True)
+    assert rows(done) == batch_result[0]
+    assert I.dead_letter(spark, out).count() == 0
+    asked = [c for c in calls(log) if not c.startswith("failed")]
+    assert asked == batch_result[1]
+    # New files after a retry are read as ever.
+    make_posts(spark, range(18, 22)).repartition(1).write.mode("append").parquet(arriving)
+    assert len(rows(start(make_model(log), retry_failed=True))) == 22
+
+
+def test_a_retry_cut_short_asks_nothing_twice(spark, tmp_path, monkeypatch, batch_result):
+    log, out, comments = tmp_path / "calls", f"{tmp_path}/out", make_comments(spark)
+    posts = make_posts(spark, range(20))
+    I.condense_incremental(posts, comments, failing_at(log, "analysis", "title 3"), out)
+    I.condense_incremental(posts, comments, failing_at(log, "answer"), out, fresh=True)
+    log.write_text("")
+
+    def cut(*_):
+        raise RuntimeError("cut")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(I, "observed", cut)
+        with pytest.raises(RuntimeError):
+            I.condense_incremental(posts, comments, make_model(log), out, retry_failed=True)
+    done = I.condense_incremental(posts, comments, make_model(log), out, retry_failed=True)
+    assert rows(done) == batch_result[0]
+    assert calls(log) == [c for c in batch_result[1] if c.startswith("answer")]
+
+
+def test_a_failed_post_survives_a_batch_cut_short_before_its_outcome(spark, tmp_path, monkeypatch, batch_result):
+    log, out, comments = tmp_path / "calls", f"{tmp_path}/out", make_comments(spark)
+    posts = make_posts(spark, range(20))
+    model = failing_at(log, "analysis", "title 7")
+    I._condense_batch(posts, comments, model, out, 0, 0, False)
+    # The same texts once more, as a repeated batch leaves them.
+    kept = spark.read.parquet(f"{out}/reentry").select("post_id", "title", "self_text", "created_utc")
+    kept.write.mode("append").parquet(f"{out}/reentry/run=0/batch=0")
+    spark.createDataFrame([(0,)], "run int").write.parquet(f"{out}/runs")
+    done = I.condense_incremental(posts.limit(0), comments, make_model(log), out, retry_failed=True)
+    assert rows(done) == batch_result[0]

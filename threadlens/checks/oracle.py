@@ -131,7 +131,7 @@ _PROMPT = f"""'Title: ' || coalesce({_text("title")}, 'None') || chr(10) || chr(
     || coalesce({_text("self_text")}, 'None')"""
 
 # The stand-in model of `condense_callable`: every reply follows from a length.
-_MEASURED = f"""
+_ASKED = f"""
 {with_views(POSTS, COMMENTS)}, {_THREADS.format(comments="comments")},
 sized as (select post_id, created_utc, length({_PROMPT}) n from posts),
 issues as (select post_id, created_utc, 'diagnosis ' || n diagnosis,
@@ -142,7 +142,8 @@ issues as (select post_id, created_utc, 'diagnosis ' || n diagnosis,
   from sized where n % 5 <> 0),
 asked as (select i.*, length('User Complaint: ' || user_complaint || chr(10) || 'Diagnosis: ' || diagnosis
       || chr(10) || 'Comments: ' || t.body_text) n
-  from issues i left join threads t on t.post_id = i.post_id)
+  from issues i left join threads t on t.post_id = i.post_id)"""
+_MEASURED = f"""{_ASKED}
 select post_id, created_utc created_time, user_complaint, diagnosis, cybersecurity_relevance,
     case when 90 + n % 10 >= 95 and n % 2 = 0 then 'answer ' || n else '-999' end solution,
     case when n is null or (90 + n % 10 >= 95 and n % 2 = 0) then '-999' else 'answer ' || n end recommendation,
@@ -228,6 +229,10 @@ ORACLE_SQL: dict[str, str] = {
     "condense_incremental_table": _MEASURED,
     "dead_letter": f"""{with_views(RESPONSES)}, {_OBJECTS}, {_ANALYSED}
         select post_id, 'analysis' stage, 'reply is not a JSON object' error from analysed where status = 'failed'""",
+    "dead_letter_answers": f"""{_ASKED}
+        select post_id, 'answer' stage, 'ValueError: refused' error, cast(1 as bigint) rounds
+        from asked where n % 3 = 0""",
+    "retry_answers": _MEASURED,
     "csv_roundtrip": _INGESTED,
     "csv_roundtrip_comments": f"""{with_views(POSTS, COMMENTS)}
         select c.*, p.community from ({_KEPT_COMMENTS}) c join posts p on p.post_id = c.post_id""",

@@ -2,6 +2,7 @@
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -312,6 +313,38 @@ def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     return dead_letter(spark, out).select("post_id", "stage", "error")
 
 
+def _refusing_answers(spark: SparkSession) -> FunctionModel:
+    """The stand-in model, but it refuses every third answer by the prompt's length."""
+    model = _measuring_backend(spark)
+    reply, stage = model.function, P.ANSWER_INSTRUCTION
+
+    def refuse(instruction: str, prompts: list[str]) -> list[str]:
+        if instruction == stage and any(len(prompt) % 3 == 0 for prompt in prompts):
+            raise ValueError("refused")
+        return reply(instruction, prompts)
+
+    return replace(model, function=refuse)
+
+
+def _retried(spark: SparkSession, sf: str) -> str:
+    """Posts arrive as files, some answers fail; a second start reads no file."""
+    arriving, out = new_folder(spark, "arriving"), new_folder(spark, "incremental")
+    ingest_posts(views.raw_submissions(spark, sf), min_comments=-1).repartition(2).write.parquet(arriving)
+    condense_incremental(stream_posts(spark, arriving), views.comments(spark, sf), _refusing_answers(spark), out)
+    return out
+
+
+def dead_letter_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return dead_letter(spark, _retried(spark, sf)).select("post_id", "stage", "error", "rounds")
+
+
+def retry_answers(spark: SparkSession, sf: str) -> DataFrame:
+    out, nothing = _retried(spark, sf), new_folder(spark, "arriving")
+    views.posts(spark, sf).limit(0).write.parquet(nothing)
+    posts = stream_posts(spark, nothing)
+    return condense_incremental(posts, views.comments(spark, sf), _measuring_backend(spark), out, retry_failed=True)
+
+
 def _written_threads(spark: SparkSession, sf: str) -> str:
     base = new_folder(spark, "threads")
     posts = stored(ingest_posts(views.raw_submissions(spark, sf)), "posts")
@@ -401,6 +434,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "condense_incremental": condense_incremental_stream,
     "condense_incremental_table": condense_incremental_table,
     "dead_letter": dead_letters,
+    "dead_letter_answers": dead_letter_answers,
+    "retry_answers": retry_answers,
     "csv_roundtrip": csv_roundtrip,
     "csv_roundtrip_comments": csv_roundtrip_comments,
     "csv_backup": csv_backup,

@@ -18,6 +18,19 @@ from threadlens.storage import stored
 
 Backend = FunctionModel | Replay
 
+_BEFORE_ANSWER = [
+    "post_id",
+    "round",
+    "created_time",
+    "user_complaint",
+    "diagnosis",
+    "cybersecurity_relevance",
+    "status",
+    "stage",
+    "error",
+    "attempts",
+]
+
 
 def condense(posts: DataFrame, comments: DataFrame, backend: Backend) -> DataFrame:
     """The nine result columns for every post with a real issue."""
@@ -34,8 +47,9 @@ def condense_outcomes(
     """One row per post, whatever became of it.
 
     `status` is `ok`, `no_issue` or `failed`. A failed analysis or rewording
-    fails the post; a failed answer leaves it with the default answer. `stage`,
-    `error` and `attempts` tell of the stage that failed, or of the last one.
+    fails the post; a failed answer leaves it with the default answer, and
+    `answer_status` tells so. `stage`, `error` and `attempts` tell of the stage that
+    failed, or of the last one.
     """
     return outcomes_of_distinct(each_once(posts, ["post_id"]), comments, backend)
 
@@ -52,6 +66,27 @@ def outcomes_of_distinct(
     return _answered(rows, comments, backend).select(*OUTCOMES.names)
 
 
+def outcomes_from(rows: DataFrame, stage: str, comments: DataFrame, backend: Backend) -> DataFrame:
+    """Outcomes of posts that failed before in `stage`: `generalize` or `answer`.
+
+    `rows` are their failed outcomes with `round`, as a stored table; what the stages
+    before said is taken from there.
+    """
+    known = rows.withColumns(
+        {
+            "status": F.lit("ok"),
+            "stage": F.lit(stage),
+            "error": F.lit(None).cast("string"),
+            "attempts": F.lit(None).cast("int"),
+        }
+    ).select(*_BEFORE_ANSWER)
+    if stage == "generalize":
+        known = _generalised(known, backend)
+        if backend.reads_prompts:
+            known = stored(known, "issues")
+    return _answered(known, comments, backend).select(*OUTCOMES.names)
+
+
 def with_round(posts: DataFrame) -> DataFrame:
     """`round` counts the earlier runs in which a post failed."""
     if "round" in posts.columns:
@@ -86,18 +121,7 @@ def _analysed(posts: DataFrame, backend: Backend) -> DataFrame:
             }
         )
         # From here on the post's own text is not needed.
-        .select(
-            "post_id",
-            "round",
-            "created_time",
-            "user_complaint",
-            "diagnosis",
-            "cybersecurity_relevance",
-            "status",
-            "stage",
-            "error",
-            "attempts",
-        )
+        .select(*_BEFORE_ANSWER)
     )
 
 
@@ -109,9 +133,10 @@ def _generalised(rows: DataFrame, backend: Backend) -> DataFrame:
     called = F.col("generalize_status").isNotNull()
     return asked.withColumns(
         {
-            "user_complaint": F.when(called, F.col("generalize_reply")).otherwise(
-                F.col("user_complaint")
-            ),
+            # A post that fails here keeps its own words for another try.
+            "user_complaint": F.when(
+                F.col("generalize_status") == "ok", F.col("generalize_reply")
+            ).otherwise(F.col("user_complaint")),
             "status": F.when(F.col("generalize_status") == "failed", "failed").otherwise(
                 F.col("status")
             ),

@@ -82,6 +82,18 @@ OUTCOMES = T.StructType(
         T.StructField("stage", T.StringType()),
         T.StructField("error", T.StringType()),
         T.StructField("attempts", T.IntegerType()),
+        # Null where no answer was asked for.
+        T.StructField("answer_status", T.StringType()),
+    ]
+)
+
+# What a failed post needs to be tried again without the file or row it came from.
+REENTRY = T.StructType(
+    [
+        T.StructField("post_id", T.StringType()),
+        T.StructField("title", T.StringType()),
+        T.StructField("self_text", T.StringType()),
+        T.StructField("created_utc", T.DoubleType()),
     ]
 )
 
@@ -98,6 +110,7 @@ REPLIES = T.StructType(
 
 _PLACE = [T.StructField("run", T.IntegerType()), T.StructField("batch", T.LongType())]
 STORED_OUTCOMES = T.StructType([*OUTCOMES.fields, *_PLACE])
+STORED_REENTRY = T.StructType([*REENTRY.fields, *_PLACE])
 STORED_REPLIES = T.StructType([*REPLIES.fields, _PLACE[1]])
 RUNS = T.StructType([_PLACE[0]])
 

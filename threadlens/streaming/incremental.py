@@ -11,23 +11,38 @@ post: repeating a batch, whole or in part, adds what is missing and no more.
 import logging
 import math
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.operators.copies import each_once
+from threadlens.operators.copies import each_once, one_of_each
 from threadlens.operators.models import FunctionModel
 from threadlens.operators.progress import observed, pending
 from threadlens.plans.condense import (
     Backend,
+    outcomes_from,
     outcomes_of_distinct,
     successes,
 )
-from threadlens.schemas import RUNS, STORED_OUTCOMES, STORED_REPLIES
-from threadlens.storage import new_folder, stored, table_or_empty
+from threadlens.schemas import (
+    OUTCOMES,
+    REENTRY,
+    RUNS,
+    STORED_OUTCOMES,
+    STORED_REENTRY,
+    STORED_REPLIES,
+)
+from threadlens.storage import key_side, new_folder, stored, table_or_empty
 
 log = logging.getLogger(__name__)
 
+# Batches that try again are numbered from here on, out of the way of a stream's own.
+RETRIES = 1 << 40
+# A post that failed and has not succeeded since, or whose answer has not.
+_IS_OPEN = "status = 'failed' or coalesce(answer_status = 'failed', false)"
+
+
 def condense_incremental(
     posts: DataFrame,
     comments: DataFrame,
@@ -42,21 +57,25 @@ def condense_incremental(
     `posts` may be a table or a stream of arriving files; a stream is read up to
     what is there and remembers which files it has read. `comments` is joined as
     it stands. A run continues the latest one unless `fresh` starts a new one.
-    Failed posts are left alone unless `retry_failed`. With `chunk_rows` a table
+    Failed posts and failed answers are left alone unless `retry_failed`: then all of the
+    run are tried once more, before any new post, whether `posts` holds them or not. With `chunk_rows` a table
     is worked off in chunks of about that many posts, each saved on its own; a
     stream is chunked by its files per batch.
     """
     spark = posts.sparkSession
     run = _begin(spark, out, fresh)
-    first = _latest_batch(_all_outcomes(spark, out).filter(F.col("run") == run)) + 1
+    first = _latest_batch(outcomes(spark, out, run).filter(F.col("batch") < RETRIES)) + 1
     if isinstance(backend, FunctionModel):
         # Replies of batches after the last finished one stem from a run cut short.
         folder = f"{out}/replies/run={run}"
-        last = _latest_batch(table_or_empty(spark, folder, STORED_REPLIES))
+        replies = table_or_empty(spark, folder, STORED_REPLIES)
+        last = _latest_batch(replies.filter(F.col("batch") < RETRIES))
         backend = replace(backend, folder=folder, earlier=(first, last))
+    if retry_failed:
+        _retry(spark, comments, backend, out, run)
 
     def step(batch: DataFrame, number: int) -> None:
-        _condense_batch(batch, comments, backend, out, run, number, retry_failed)
+        _condense_batch(batch, comments, backend, out, run, number, False)
 
     if posts.isStreaming:
         query = (
@@ -79,41 +98,55 @@ def outcomes(spark: SparkSession, out: str, run: int | None = None) -> DataFrame
 
 
 def results(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
-    """The condensed rows of a run."""
-    return successes(outcomes(spark, out, run))
+    """The condensed rows of a run, one per post: a later answer takes the place of the
+    default that stood for a failed one."""
+    done = outcomes(spark, out, run).filter(F.col("status") == "ok")
+    again = done.filter(F.col("batch") >= RETRIES)
+    if again.isEmpty():
+        return successes(done)
+    latest = stored(again.groupBy("post_id").agg(F.max("batch").alias("_latest")), "retried")
+    return successes(
+        done.join(key_side(latest), "post_id", "left").filter(
+            F.col("_latest").isNull() | (F.col("batch") == F.col("_latest"))
+        )
+    )
 
 
 def ledger(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
-    """One row per processed post: `post_id, status, failures`.
+    """One row per processed post: `post_id, status, answer_status, failures`.
 
-    A post that failed and succeeded later is done; `failures` counts how often
-    it failed before.
+    A post that failed and succeeded later is done, and so is its answer; `failures`
+    counts how often one of its stages failed before.
     """
-    failed = F.col("status") == "failed"
+    return _states(outcomes(spark, out, run)).select("post_id", "status", "answer_status", "failures")
+
+
+def dead_letter(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
+    """Posts that failed, whole or in their answer, and have not succeeded since, with
+    their last error."""
     return (
-        outcomes(spark, out, run)
-        .groupBy("post_id")
-        .agg(
-            F.max_by("status", ~failed).alias("status"),
-            F.count_if(failed).cast("int").alias("failures"),
-        )
+        _states(outcomes(spark, out, run))
+        .filter(_IS_OPEN)
+        .select("post_id", "last.*", F.col("failures").cast("long").alias("rounds"))
     )
 
 
-def dead_letter(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
-    """Posts that failed and have not succeeded since, with their last error."""
-    done = outcomes(spark, out, run)
-    failed = done.filter(F.col("status") == "failed")
-    last = F.max_by(F.struct("stage", "error", "attempts"), "batch")
+def _states(done: DataFrame) -> DataFrame:
+    """What the outcomes of each post come to."""
+    failed = F.col("status") == "failed"
+    any_failed = failed | F.coalesce(F.col("answer_status") == "failed", F.lit(False))
+    answer = F.max_by(F.struct("answer_status"), F.when(F.col("status") == "ok", F.col("batch")))
+    last = F.max_by(F.struct("stage", "error", "attempts"), F.when(any_failed, F.col("batch")))
     return (
-        failed.join(
-            done.filter(F.col("status") != "failed").select("post_id"),
-            "post_id",
-            "left_anti",
+        done.groupBy("post_id")
+        .agg(
+            F.max_by("status", ~failed).alias("status"),
+            answer.alias("_answer"),
+            F.count_if(any_failed).cast("int").alias("failures"),
+            last.alias("last"),
         )
-        .groupBy("post_id")
-        .agg(last.alias("last"), F.count("*").alias("rounds"))
-        .select("post_id", "last.*", "rounds")
+        .withColumn("answer_status", F.col("_answer.answer_status"))
+        .drop("_answer")
     )
 
 
@@ -129,15 +162,65 @@ def _condense_batch(
     spark = posts.sparkSession
     known = ledger(spark, out, run)
     # Stored, as every stage below starts from it.
-    needed = each_once(posts.select("post_id", "title", "self_text", "created_utc"), ["post_id"])
+    needed = each_once(posts.select(*REENTRY.names), ["post_id"])
     todo = stored(_with_rounds(needed, known, retry_failed), "todo")
     if isinstance(backend, FunctionModel):
         backend = replace(backend, batch=batch)
-    rows, counter = observed(
-        outcomes_of_distinct(todo, comments, backend), f"condense-{run}-{batch}"
-    )
+    rows = outcomes_of_distinct(todo, comments, backend)
+    _keep(spark, rows, todo.select(*REENTRY.names), out, run, batch)
+
+
+def _keep(
+    spark: SparkSession, rows: DataFrame, todo: DataFrame | None, out: str, run: int, batch: int
+) -> None:
+    """Append the outcomes of a batch; before them, the text of posts that failed.
+
+    In this order, as posts with an outcome are not looked at again: a batch cut short
+    in between repeats both.
+    """
+    rows, counter = observed(rows, f"condense-{run}-{batch}")
+    rows = stored(rows, "outcomes")
+    counts = counter.get
+    if counts["failed"] and todo is not None:
+        failed = rows.filter(F.col("status") == "failed").select("post_id")
+        texts = todo.join(failed, "post_id", "left_semi").select(*REENTRY.names)
+        texts.write.mode("append").parquet(f"{out}/reentry/run={run}/batch={batch}")
     rows.write.mode("append").parquet(f"{out}/outcomes/run={run}/batch={batch}")
-    log.info("run %s, batch %s: %s", run, batch, counter.get)
+    log.info("run %s, batch %s: %s", run, batch, counts)
+
+
+def _retry(spark: SparkSession, comments: DataFrame, backend: Backend, out: str, run: int) -> None:
+    """Try once more what failed in a run, as a batch of its own.
+
+    A retry cut short leaves its replies under the number that the next one takes.
+    """
+    done = outcomes(spark, out, run)
+    number = max(RETRIES - 1, _latest_batch(done)) + 1
+    if isinstance(backend, FunctionModel):
+        backend = replace(backend, batch=number, earlier=(0, -1))
+    again = stored(
+        _states(done)
+        .filter(_IS_OPEN)
+        .select("post_id", F.col("failures").alias("round"), F.col("last.stage").alias("_from")),
+        "again",
+    )
+    # The last outcome of each has what the stages before the failed one said.
+    latest = F.max_by(F.struct(*[c for c in OUTCOMES.names if c != "post_id"]), "batch").alias("_row")
+    failed = stored(
+        done.join(again, "post_id").groupBy("post_id", "round", "_from").agg(latest)
+        .select("post_id", "round", "_from", "_row.*"),
+        "failed",
+    )
+    kept = table_or_empty(spark, f"{out}/reentry", STORED_REENTRY).filter(F.col("run") == run)
+    whole = again.filter(F.col("_from") == "analysis").select("post_id", "round")
+    texts = stored(one_of_each(kept.join(whole, "post_id").select(*REENTRY.names, "round"), ["post_id"]), "reentry")
+    parts = [] if texts.isEmpty() else [outcomes_of_distinct(texts, comments, backend)]
+    for stage in ("generalize", "answer"):
+        rows = failed.filter(F.col("_from") == stage)
+        if not rows.isEmpty():
+            parts.append(outcomes_from(rows, stage, comments, backend))
+    if parts:
+        _keep(spark, reduce(DataFrame.unionByName, parts), None, out, run, number)
 
 
 def _with_rounds(posts: DataFrame, known: DataFrame, retry_failed: bool) -> DataFrame:
