@@ -326,23 +326,24 @@ def _refusing_answers(spark: SparkSession) -> FunctionModel:
     return replace(model, function=refuse)
 
 
-def _retried(spark: SparkSession, sf: str) -> str:
-    """Posts arrive as files, some answers fail; a second start reads no file."""
+def _refused(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Posts arrive as files and some answers fail."""
     arriving, out = new_folder(spark, "arriving"), new_folder(spark, "incremental")
     ingest_posts(views.raw_submissions(spark, sf), min_comments=-1).repartition(2).write.parquet(arriving)
-    condense_incremental(stream_posts(spark, arriving), views.comments(spark, sf), _refusing_answers(spark), out)
-    return out
+    posts = stream_posts(spark, arriving)
+    condense_incremental(posts, views.comments(spark, sf), _refusing_answers(spark), out)
+    return arriving, out
 
 
 def dead_letter_answers(spark: SparkSession, sf: str) -> DataFrame:
-    return dead_letter(spark, _retried(spark, sf)).select("post_id", "stage", "error", "rounds")
+    return dead_letter(spark, _refused(spark, sf)[1]).select("post_id", "stage", "error", "rounds")
 
 
 def retry_answers(spark: SparkSession, sf: str) -> DataFrame:
-    out, nothing = _retried(spark, sf), new_folder(spark, "arriving")
-    views.posts(spark, sf).limit(0).write.parquet(nothing)
-    posts = stream_posts(spark, nothing)
-    return condense_incremental(posts, views.comments(spark, sf), _measuring_backend(spark), out, retry_failed=True)
+    """A second start of the stream reads no file and asks for failed answers only."""
+    arriving, out = _refused(spark, sf)
+    posts, model = stream_posts(spark, arriving), _measuring_backend(spark)
+    return condense_incremental(posts, views.comments(spark, sf), model, out, retry_failed=True)
 
 
 def _written_threads(spark: SparkSession, sf: str) -> str:
