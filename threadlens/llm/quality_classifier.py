@@ -2,7 +2,7 @@
 
 Statistics of the whole text are native expressions and are stored once. A
 regularised quadratic discriminant is fitted from per-class sums over all labelled
-rows: each class covariance is shrunk towards the pooled one and that towards its
+rows (the filtering stage takes a bounded sample of them): each class covariance is shrunk towards the pooled one and that towards its
 diagonal. The score is the difference of the two log densities, written out as one
 native expression with the inverse Cholesky factors as constants.
 """
@@ -25,6 +25,8 @@ TO_DIAGONAL = 0.1
 FLOOR = 1e-3
 #: A share or mean of zero counts as this before its logarithm is taken.
 LEAST = 1e-3
+#: Labelled ids that `keep_quality` learns from at most.
+FIT_SAMPLE = 20_000
 
 STATISTICS = [
     "words", "word_length", "signs", "marks", "capitals", "digits", "distinct", "echoes", "line_words", "sentence_words", "bars",
@@ -136,13 +138,30 @@ def _score(model: Discriminant | float) -> Column:
     return 1 / (1 + F.exp(-model.logit() / len(STATISTICS)))
 
 
-def _learned(rows: DataFrame, labels: DataFrame, parts: int, which: int) -> Discriminant | float:
-    """Fit on stored statistics of all labelled rows outside the held-out part."""
+def _known(labels: DataFrame) -> DataFrame:
+    """`doc_id`, `quality` of every labelled id."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")
     )
-    known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    return fit(rows.where(~held_out(parts, which)).join(known, "doc_id"))
+    return known.agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+
+
+def _learned(rows: DataFrame, labels: DataFrame, parts: int, which: int) -> Discriminant | float:
+    """Fit on stored statistics of all labelled rows outside the held-out part."""
+    return fit(rows.where(~held_out(parts, which)).join(_known(labels), "doc_id"))
+
+
+def _learned_from_sample(
+    docs: DataFrame, labels: DataFrame, parts: int, which: int, sample: int
+) -> Discriminant | float:
+    """Fit on at most `sample` labelled ids outside the held-out part, those whose hash is
+    least: only their documents are measured for it."""
+    known = _known(labels).where(~held_out(parts, which)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = stored(known, "labelled")
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    # No more keys than `sample`, whatever the size of the tables.
+    chosen = docs.select(ids, "text").join(F.broadcast(known.select("doc_id")), "doc_id")
+    return fit(stored(statistics(chosen), "statistics").join(F.broadcast(known), "doc_id"))
 
 
 def _stored_statistics(docs: DataFrame) -> DataFrame:
@@ -167,12 +186,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, parts: int = 3, which: int
     )
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, parts: int = 3, which: int = 1) -> DataFrame:
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, parts: int = 3, which: int = 1, sample: int = FIT_SAMPLE
+) -> DataFrame:
     """The documents that score 0.5 or more, with their own columns, unchanged.
 
-    Texts are measured a second time where they lie, so that none is moved.
+    Learns from at most `sample` labelled ids; the documents among them are measured
+    first, and then all, where they lie, so that no text is moved.
     """
-    model = _learned(_stored_statistics(docs), labels, parts, which)
+    model = _learned_from_sample(docs, labels, parts, which, sample)
     inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     rows = statistics(docs.toDF(*inner.values()), inner["text"], tuple(inner.values()))
     # Generated columns are computed once; plain ones would be put into the score wherever
