@@ -25,7 +25,6 @@ columns, whatever their names, are not looked at.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -41,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.encoding import runs_of
+from threadlens.llm.encoding import no_cycle_search, one_thread, runs_of
 from threadlens.storage import stored
 
 # Texts beyond this are dealt out in ranges of this size.
@@ -106,15 +105,15 @@ def _aligned(docs: DataFrame, file_a: str, file_b: str, range_bytes: int) -> tup
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = aligner(file_a, file_b)
-        # Nothing here refers back to itself, and looking for what does costs a fifth of the time.
-        gc.disable()
         for batch in batches:
             start = 0
             for run in runs_of(batch.column("text"), BLOCK_BYTES):
                 ids = batch.column("doc_id").slice(start, len(run))
                 start += len(run)
-                yield from _whole_block(cells, ids, run)
-        gc.enable()
+                # Looking for cycles among the cells costs a fifth of the time.
+                with no_cycle_search():
+                    rows = [*_whole_block(cells, ids, run)]
+                yield from rows
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = aligner(file_a, file_b)
@@ -207,6 +206,7 @@ class CellAligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        one_thread()
         self.a = Tokenizer.from_file(file_a)
         # The strings of special tokens are ordinary text.
         self.a.encode_special_tokens = True

@@ -10,15 +10,19 @@ new ones only; the texts themselves are cut and put together by Arrow and numpy.
 from __future__ import annotations
 
 import ctypes
+import gc
+import os
 import re
+from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Chunks a worker remembers (about 150 bytes each); it starts anew beyond.
+# Chunks a worker remembers (about 150 bytes each) in each of two generations.
 REMEMBERED = 600_000
 # Longer chunks are encoded but not remembered.
 LONGEST_KEPT = 64
@@ -30,9 +34,10 @@ RUN_BYTES = 8 << 20
 _LIBC = ctypes.CDLL(None)
 _SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RUNS = rf"[{_SPACE}][{_SPACE}]|^[{_SPACE}]|[{_SPACE}]$|\x00|[^ \nA-Za-z0-9\P{{Z}}]|[\t\x0b\f\r\x1c-\x1f\x{{85}}]"
+# Between a letter and an ASCII sign, words end for both kinds of file. Letters are those that
+# lower-casing and composition leave letters; `|` is left alone, as special tokens hold it.
+_SIGN = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-`{}~])"
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
-# A word and the ASCII signs after it are encoded apart.
-_LETTERS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~].*)", re.DOTALL)
 
 
 def runs_of(texts: pa.Array, size: int = RUN_BYTES) -> Iterator[pa.Array]:
@@ -47,7 +52,7 @@ def runs_of(texts: pa.Array, size: int = RUN_BYTES) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
         yield texts.take(pa.array(np.arange(start, stop)))
         start = stop
-        _give_back()
+    _give_back()
 
 
 def _give_back() -> None:
@@ -57,46 +62,72 @@ def _give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+def one_thread() -> None:
+    """Keep the tokenizer to the core that Spark gave the task: threads of its own cost more
+    CPU time than they save, as all cores have tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """For code that makes many small objects, none of which refer back to themselves."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
 class ChunkEncoder:
     """Turns texts into ids. `drops_blanks`: white space leaves no ids."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
+        one_thread()
         self.tokenizer = Tokenizer.from_file(file)
         self.drops_blanks = not self.tokenizer.encode(" ", add_special_tokens=False).ids
+        added = pa.array([x.content for x in self.tokenizer.get_added_tokens_decoder().values()], pa.string())
+        self.cuts_signs = not pc.any(pc.match_substring_regex(added, _SIGN)).as_py()
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk as bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known = self.known
+        """The ids of each of these different chunks as bytes."""
+        known, old = self.known, self.old
         found = [*map(known.get, chunks)]
-        new = {x: i for i, x in enumerate(chunks) if found[i] is None}
-        if new:
-            split = {
-                x: m.groups() for x in new if (m := _LETTERS.fullmatch(x)) and m[1].lstrip().lower().isalpha()
-            }
-            ask = {part for parts in split.values() for part in parts if part not in known}
-            ask = [*ask.union(new.keys() - split.keys())]
-            ids = {}
-            # The library's results are large: a few at a time.
-            for at in range(0, len(ask), ASKED):
-                part = ask[at : at + ASKED]
-                for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    ids[x] = np.array(e.ids, "<u4").tobytes()
-            for x, (head, tail) in split.items():
-                ids[x] = (known.get(head) or ids[head]) + (known.get(tail) or ids[tail])
-            for x, i in new.items():
-                found[i] = ids[x]
-            known.update((x, i) for x, i in ids.items() if len(x) <= LONGEST_KEPT)
+        new = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                ids = old.get(chunks[i])
+                if ids is None:
+                    new.append(i)
+                else:
+                    found[i] = known[chunks[i]] = ids
+        encode = self.tokenizer.encode_batch_fast
+        # The library's results are large: a few at a time.
+        for at in range(0, len(new), ASKED):
+            part = new[at : at + ASKED]
+            texts = [chunks[i] for i in part]
+            for i, x, e in zip(part, texts, encode(texts, add_special_tokens=False)):
+                found[i] = ids = array("I", e.ids).tobytes()
+                if len(x) <= LONGEST_KEPT:
+                    known[x] = ids
+        if len(known) > REMEMBERED:
+            self.old, self.known = known, {"": b""}
         return found
 
     def _simple(self, texts: pa.Array) -> pa.Array:
         """Lists of chunks of texts in which every blank stands alone."""
         if self.drops_blanks:
-            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            texts = pc.replace_substring(texts, "\n", " ")
+            if self.cuts_signs:
+                texts = pc.replace_substring_regex(texts, _SIGN, r"\1 \2")
+            return pc.split_pattern(texts, " ")
+        if self.cuts_signs:
+            texts = pc.replace_substring_regex(texts, _SIGN, "\\1\0\\2")
         lines = pc.replace_substring(texts, "\n", "\0\n\0")
         return pc.split_pattern(pc.replace_substring(lines, " ", "\0 "), "\0")
 
@@ -127,7 +158,8 @@ class ChunkEncoder:
                 lists = self._simple(texts)
         words = lists.flatten().dictionary_encode()
         which = words.indices.to_numpy()
-        ids = self._encoded(words.dictionary.to_pylist())
+        with no_cycle_search():
+            ids = self._encoded(words.dictionary.to_pylist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(lengths) - lengths
         pool = np.frombuffer(b"".join(ids), "<u4")
