@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.storage import key_side, stored
+
 
 def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: the one whose columns, in their order, are largest.
@@ -17,9 +19,13 @@ def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def each_once(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`one_of_each`, moving whole rows only where a key is repeated."""
-    repeated = rows.groupBy(*keys).count().filter(F.col("count") > 1).select(*keys)
+    """`one_of_each`, moving whole rows only where a key is repeated.
+
+    The repeated keys are stored, so that they are looked for only once.
+    """
+    repeated = stored(rows.groupBy(*keys).count().filter(F.col("count") > 1).select(*keys), "repeated")
     if repeated.isEmpty():
         return rows
+    repeated = key_side(repeated)
     single = rows.join(repeated, keys, "left_anti")
     return single.unionByName(one_of_each(rows.join(repeated, keys, "left_semi"), keys))

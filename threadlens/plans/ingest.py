@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import extract_links, normalize_ascii, post_type
+from threadlens.operators.copies import each_once
 from threadlens.operators.ranking import top_per_community
 from threadlens.operators.tree import listed
 from threadlens.storage import BROADCAST_KEYS, stored
@@ -41,7 +42,8 @@ def ingest_comments(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """Comments of the given posts, text normalised, each with its place `seq`.
 
     The tree is walked on ids alone; texts join its result once, and are not
-    shuffled for it where only few comments are wanted. `posts` is read while the
+    shuffled for it where only few comments are wanted. Of several rows of one comment the
+    one whose columns are largest counts, and its place is the least. `posts` is read while the
     walk starts: hand in a stored table rather than a dear plan.
     """
     named = comments.withColumnRenamed("id", "comment_id")
@@ -56,8 +58,8 @@ def ingest_comments(comments: DataFrame, posts: DataFrame) -> DataFrame:
     if found <= BROADCAST_KEYS:
         listing = F.broadcast(listing)
     if found < ids.count():
-        named = named.dropDuplicates(["post_id", "comment_id"])
-    return named.join(listing, ["post_id", "comment_id"]    ).select(
+        named = each_once(named, ["post_id", "comment_id"])
+    return named.join(listing, ["post_id", "comment_id"]).select(
         "post_id",
         "comment_id",
         normalize_ascii(F.col("body")).alias("body"),
