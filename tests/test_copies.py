@@ -42,7 +42,6 @@ def test_repeated_keys_are_looked_for_once(spark):
 
 
 def test_entry_without_the_optional_queries(monkeypatch):
-    monkeypatch.setitem(sys.modules, "threadlens.llm.queries", None)
-    monkeypatch.delattr("threadlens.llm.queries", raising=False)
+    monkeypatch.setitem(sys.modules, "threadlens.llm", None)
     assert set(__spark_entry__.queries()) == set(QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(QUERIES)
