@@ -1,7 +1,9 @@
 """The ten operators on small tables: plain cases against brute force, and odd rows."""
 
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +23,7 @@ from threadlens.llm.quality_classifier import keep_quality, score_quality
 from threadlens.llm.quality_rules import judge_rules
 from threadlens.llm.token_counts import CountingViterbi, count_run, count_tokens, vocabulary
 from threadlens.llm.token_files import PerfectHash, lookup, read_token_shards, write_token_shards
-from threadlens.llm.url_filter import Segmenter, judge_urls
+from threadlens.llm.url_filter import SEEDS, Segmenter, judge_urls
 from threadlens.storage import new_folder
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -227,15 +229,15 @@ def test_urls(spark):
 
 
 def test_url_words_are_known_however_rare(spark):
-    """More distinct words than a table of 50,000 held: a name of a rare one is not unknown."""
+    """More distinct words than a table of 50,000 held: a name of a rare one is cut by it, if another page says it."""
     letters = "abcdefghij"
     many = ["q" + "".join(letters[int(d)] for d in f"{i:05d}") for i in range(60_000)]
-    pages = [(0, "http://zebrafish.example/garden/zebrafishgarden/9", "<p>zebrafish</p>"), (1, None, " ".join(["garden"] * 9))]
+    pages = [(0, "http://zebrafish.example/garden/zebrafishgarden/9", "<p>example</p>"), (1, None, "zebrafish " + " ".join(["garden"] * 9))]
     pages += [(2 + k, "http://x", " ".join(many[k::6] * 2)) for k in range(6)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.tokens for r in judge_urls(frame).collect()}
-    assert got[0] == ["h:zebrafish", "h:?", "p:garden", "p:zebrafish", "p:garden", "p:#"]
-    assert got[1] == [] and got[2] == ["h:?"]
+    assert got[0] == ["h:zebrafish", "h:example", "p:garden", "p:zebrafish", "p:garden", "p:#"]
+    assert got[1] == [] and got[2] == ["h:x"]
 
 
 def test_segmenter_finds_the_likeliest_words():
@@ -243,6 +245,65 @@ def test_segmenter_finds_the_likeliest_words():
     assert cut("cheappills") == ["cheap", "pills"] and cut("") == [] and "".join(cut("zzcheapq")) == "zzcheapq"
 
 
+def test_segmenter_equals_all_cuts():
+    """The cheapest of all cuts; of equal ones that with the longest last word, and so on backwards."""
+    rnd = np.random.default_rng(4)
+    for _ in range(150):
+        words = {"".join(rnd.choice(list("abc"), rnd.integers(1, 5))): int(rnd.integers(1, 40)) for _ in range(6)}
+        name = "".join(rnd.choice(list("abcd"), rnd.integers(1, 10)))
+        own = Segmenter(words)
+
+        def price(piece):
+            return own.cost.get(piece, own.unknown + Segmenter.LETTER * len(piece))
+
+        cuts = []
+        for bits in range(1 << (len(name) - 1)):
+            at = [0, *(i + 1 for i in range(len(name) - 1) if bits >> i & 1), len(name)]
+            cuts.append([name[a:b] for a, b in zip(at, at[1:])])
+        best = min(cuts, key=lambda c: (sum(map(price, c)), [-len(w) for w in c[::-1]]))
+        assert own.cut(name) == best
+
+
+def test_url_scores_equal_plain_naive_bayes(spark):
+    """Names are cut; no seed counts for itself; a URL without seeds goes by its other words."""
+    said = "<p>garden house river casino winners cheap trick</p>"
+    urls = [f"http://casinowinners.net/house/{i}" for i in range(6)] + [f"http://riverhouse.net/garden/{i}" for i in range(9)]
+    urls += ["http://winners.net/x", "http://casino.net/garden", "http://pokerpills.net/trick", "http://cheaptrick.net", None, "x"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(99, None, said)] * 3, "page_id long, url string, html string")
+    rows = [r for r in judge_urls(pages, rules=[]).collect()]
+    by_id = {r.page_id: r for r in rows}
+    assert len(rows) == len(urls) + 3
+    assert by_id[0].tokens == ["h:casino", "h:winners", "h:net", "p:house", "p:#"]
+    assert by_id[17].tokens == ["h:poker", "h:pills", "h:net", "p:trick"]
+    seeds = set(SEEDS)
+    named = [(r.tokens, {t[2:] for t in r.tokens} & seeds) for r in rows]
+    bad, good = Counter(), Counter()
+    for tokens, own in named:
+        for t in tokens:
+            bad[t] += bool(own - {t[2:]})
+            good[t] += not own
+    known = {t for t in bad if bad[t] + good[t]}
+    n_bad = sum(bool(own) for _, own in named)
+    all_bad, all_good = (sum(x[t] for t in known) + len(known) + 1 for x in (bad, good))
+    weight = {t: math.log((bad[t] + 1) / all_bad) - math.log((good[t] + 1) / all_good) for t in known}
+    for r in rows:
+        score = math.log((n_bad + 1) / (len(rows) - n_bad + 1)) + sum(weight.get(t, 0) for t in r.tokens)
+        assert abs(r.score - score) < 1e-9 and r.verdict == ("block" if r.score > 0 else "allow")
+    # A word that stands with seeds blocks without one, and a seed alone does not.
+    assert by_id[15].verdict == "block" and not {t[2:] for t in by_id[15].tokens} & seeds
+    assert by_id[16].verdict == "allow" and "h:casino" in by_id[16].tokens and "h:casino" not in weight
+
+
+def test_very_long_names(spark):
+    """A name of a million letters, and words of any length, in bounded memory."""
+    long = "q" * 3_000
+    pages = [(0, f"data://x/{'garden' * 170_000}", "<p>x</p>"), (1, "http://y", f"garden {long}"), (2, f"http://garden{long}/a", "a b")]
+    rows = judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.tokens for r in rows}
+    assert got[0] == ["h:x"] + ["p:garden"] * 170_000
+    assert got[2] == ["h:garden", f"h:{long}", "p:a"]
+
+
 def test_languages(spark, odd, empty):
     words = {"en": "the of and house green walks", "de": "der die und haus grün geht", "fr": "le la et maison verte marche"}
     rnd = np.random.default_rng(6)

@@ -3,8 +3,8 @@
 Rules decide where they fit; elsewhere the words of host and path do. Concatenated
 names are cut into words by a Viterbi pass over unigram counts of the pages' own
 words, and a multinomial naive Bayes model scores the words. It learns from all
-pages: those that name a word of the seed list are examples of what to block, the
-others of what to allow.
+pages: those whose URL names a word of the seed list are examples of what to block, the
+others of what to allow. No seed is judged by itself, see `judge_urls`.
 
 Word counts, names, cuts and token weights are tables of any size: each distinct name
 is cut once, by the counted words that occur in it.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,9 +39,13 @@ SEEDS = (
     "tracker viagra warez xxx"
 ).split()
 
-# The unigram table holds words of so many letters.
-LONGEST = 24
+# Names meet words by so many first letters.
+HEAD = 24
+# Tables of names and tokens are broadcast up to so many bytes of text.
+BROADCAST_BYTES = 1 << 25
 _NAME = re.compile(r"[^\W\d_]+|\d+")
+_WORD = re.compile(r"[^\W\d_]+")
+_MARKUP = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.IGNORECASE | re.DOTALL)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -65,29 +70,39 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
 class Segmenter:
     """Cuts a name into the words that are likeliest by their unigram counts.
 
-    An unknown piece of n letters has the chance of 1 in total * 10^n. Of equally
-    likely cuts the one with the longest last word is taken.
+    An unknown piece of n letters has the chance of 1 in total * 10^n. Costs are whole
+    millionths, so that equally likely cuts are told exactly: of those the one with the
+    longest last word is taken. A cut takes a step per letter and length of word, however
+    long an unknown piece grows.
     """
 
-    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None):
-        """`total` and `longest` (letters) are those of a larger table that `counts` is taken from."""
-        self.total = (sum(counts.values()) if total is None else total) + 1
-        self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=1) if longest is None else longest
+    LETTER = 2_310_000
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """`total` is that of a larger table that `counts` is taken from."""
+        total = (sum(counts.values()) if total is None else total) + 1
+        self.cost = {w: round(1e6 * math.log(total / n)) for w, n in counts.items()}
+        self.unknown = round(1e6 * math.log(total)) + 1_000_000
+        self.lengths = sorted({len(w) for w in counts})
 
     def cut(self, name: str) -> list[str]:
-        best, back = [0.0], [0]
+        best, back = [0], [0]
+        # The cheapest unknown piece that ends here: its cost with all before it, and its start.
+        piece, opened = math.inf, 0
         for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - self.longest), end):
-                word = name[start:end]
-                cost = self.cost.get(word)
-                if cost is None:
-                    cost = math.log(self.total) + 2.31 * len(word) + 1
-                options.append((best[start] + cost, start))
-            cost, start = min(options)
-            best.append(cost)
-            back.append(start)
+            fresh = best[end - 1] + self.unknown
+            if fresh < piece:
+                piece, opened = fresh, end - 1
+            piece += self.LETTER
+            chosen = (piece, opened)
+            for length in self.lengths:
+                if length > end:
+                    break
+                cost = self.cost.get(name[end - length : end])
+                if cost is not None:
+                    chosen = min(chosen, (best[end - length] + cost, end - length))
+            best.append(chosen[0])
+            back.append(chosen[1])
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
@@ -95,31 +110,44 @@ class Segmenter:
         return words[::-1]
 
 
-def word_counts(pages: DataFrame) -> DataFrame:
-    """`word`, `count`: all lower-case words in the visible text of all pages.
+def _side(table: DataFrame, text: str) -> DataFrame:
+    """A stored table as a join side: broadcast where its rows and the bytes of its texts allow."""
+    size = table.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return key_side(table) if size <= BROADCAST_BYTES else table
 
-    Hosts and paths are left out: a concatenated name must not count as a word.
-    """
-    visible = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    found = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word"))
-    return stored(found.where(f"length(word) between 1 and {LONGEST}").groupBy("word").count(), "words")
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: Counter[str] = Counter()
+        for host, path, html in zip(*(batch[c].to_pylist() for c in ("host", "path", "html"))):
+            own = Counter(_WORD.findall(_MARKUP.sub(" ", html).lower()))
+            for word in {*_NAME.findall(host), *_NAME.findall(path.lower())}:
+                own.pop(word, None)
+            counts.update(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "count"]
+        )
 
 
-def _with_seeds(counts: DataFrame, seeds: list[str]) -> tuple[DataFrame, int, int]:
-    """The word table with the seeds, its total and the letters of its longest word.
+def word_counts(pages: DataFrame) -> DataFrame:
+    """`word`, `count`: all lower-case words, of any length, in the visible text of all pages.
 
-    A seed is a word wherever it can be one.
+    The text of a page does not count for the names of its own URL, which it often
+    repeats: a concatenated name must not become a word by that.
     """
-    known = {r["word"]: r["count"] for r in counts.where(F.col("word").isin(*seeds)).collect()}
-    sums = counts.agg(F.sum("count").alias("total"), F.max(F.length("word")).alias("longest")).first()
-    total = sums["total"] or 0
-    for seed in seeds:
-        count = max(known.get(seed, 0), 1 + total // 10_000)
-        total += count - known.get(seed, 0)
-        known[seed] = count
-    own = counts.sparkSession.createDataFrame([*known.items()], counts.schema)
-    longest = max([sums["longest"] or 0, *map(len, known)]) or 1
-    return counts.where(~F.col("word").isin(*known)).unionByName(own), total, longest
+    host, path = url_parts(F.col("url"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(host.alias("host"), path.alias("path"), html.alias("html"))
+    found = rows.mapInArrow(_count_words, "word string, count long")
+    return stored(found.groupBy("word").agg(F.sum("count").alias("count")), "words")
+
+
+def _with_seeds(counts: DataFrame, seeds: list[str]) -> tuple[DataFrame, int]:
+    """The word table, where a seed that is not found counts once, and its total."""
+    known = {r["word"] for r in counts.where(F.col("word").isin(*seeds)).select("word").collect()}
+    new = sorted(set(seeds) - known)
+    own = counts.sparkSession.createDataFrame([(x, 1) for x in new], counts.schema)
+    return counts.unionByName(own), (counts.agg(F.sum("count")).first()[0] or 0) + len(new)
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,48 +162,65 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cutter(total: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All parts of the names of up to `HEAD` letters, block by block of a long name."""
+    for batch in batches:
+        for key, name in zip(batch["key"].to_pylist(), batch["name"].to_pylist()):
+            for block in range(0, len(name), 4096):
+                ends = range(1, HEAD + 1)
+                starts = range(block, min(block + 4096, len(name)))
+                parts = list({name[i : i + n] for i in starts for n in ends})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(parts), pa.int64()), pa.array(parts, pa.string())], names=["key", "part"]
+                )
+
+
+def _cutter(total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = []
             for name, words in zip(batch["name"].to_pylist(), batch["words"].to_pylist()):
-                counts = {w["word"]: w["count"] for w in words}
-                cuts.append([w if w in counts else "?" for w in Segmenter(counts, total, longest).cut(name)])
+                cuts.append(Segmenter({w["word"]: w["count"] for w in words}, total).cut(name))
             yield pa.RecordBatch.from_arrays([batch["name"], pa.array(cuts, pa.list_(pa.string()))], names=["name", "cut"])
 
     return cut
 
 
-def cut_names(names: DataFrame, counts: DataFrame, total: int, longest: int) -> DataFrame:
-    """`name`, `cut`: the likeliest words of each (distinct, stored) name; unknown words are `?`."""
-    pieces = F.expr(
-        "array_distinct(flatten(transform(sequence(1, length(name)), i -> "
-        f"transform(sequence(1, least({longest}, length(name) - i + 1)), n -> substring(name, i, n)))))"
-    )
-    found = names.select("name", F.explode(pieces).alias("word")).join(counts, "word")
-    found = found.groupBy("name").agg(F.collect_list(F.struct("word", "count")).alias("words"))
+def cut_names(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """`name`, `cut`: the likeliest words of each (distinct, stored) name; an unknown piece
+    is a word of its own.
+
+    The parts of a name meet the words by the first `HEAD` letters, so a longer word is
+    offered to every name that has its head; a cut uses only what stands in the name. For
+    that reason a hash may stand for the name here.
+    """
+    keyed = names.select(F.xxhash64("name").alias("key"), "name")
+    parts = keyed.mapInArrow(_pieces, "key long, part string").distinct()
+    heads = counts.withColumn("part", F.substring("word", 1, HEAD))
+    found = parts.join(heads, "part").groupBy("key").agg(F.collect_list(F.struct("word", "count")).alias("words"))
     none = F.array().cast("array<struct<word:string,count:bigint>>")
-    own = names.join(found, "name", "left").select("name", F.coalesce("words", none).alias("words"))
-    return stored(own.mapInArrow(_cutter(total, longest), "name string, cut array<string>"), "cuts")
+    own = keyed.join(found, "key", "left").select("name", F.coalesce("words", none).alias("words"))
+    return stored(own.mapInArrow(_cutter(total), "name string, cut array<string>"), "cuts")
 
 
-def url_tokens(rows: DataFrame, counts: DataFrame, total: int, longest: int) -> DataFrame:
+def url_tokens(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """`rows` (with `host`, `path`, not null) with `tokens`: signed words of host and path in
-    order, where numbers and unknown words count as such. A column `_row` tells rows apart."""
+    order, where a number counts as such. A column `_row` tells rows apart."""
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", names array<string>"
     rows = stored(rows.mapInArrow(_names, schema), "url_names")
     name = F.expr("substring(signed, 3)").alias("name")
     uses = rows.select(F.explode("names").alias("signed")).distinct().where("signed not in ('h:#', 'p:#')")
-    cuts = cut_names(stored(uses.select(name).distinct(), "names"), counts, total, longest)
-    own = [c for c in rows.columns if c != "names"]
-    placed = rows.select(*own, F.posexplode_outer("names").alias("_at", "signed"))
-    placed = placed.withColumn("name", name).join(key_side(cuts), "name", "left")
+    cuts = cut_names(stored(uses.select(name).distinct(), "names"), counts, total)
+    # Only the number of a row goes along with its names: a long URL is not repeated for each.
+    placed = rows.select("_row", F.posexplode("names").alias("_at", "signed"))
+    placed = placed.withColumn("name", name).join(_side(cuts, "name"), "name", "left")
     words = F.coalesce("cut", F.array(F.lit("#")))
     signed = F.transform(words, lambda w: F.concat(F.substring("signed", 1, 2), w))
-    part = F.when(F.col("_at").isNotNull(), F.struct("_at", signed.alias("own")))
-    parts = F.array_sort(F.collect_list(part))
-    return placed.groupBy(*own).agg(F.flatten(F.transform(parts, lambda x: x["own"])).alias("tokens"))
+    parts = F.array_sort(F.collect_list(F.struct("_at", signed.alias("own"))))
+    tokens = placed.groupBy("_row").agg(F.flatten(F.transform(parts, lambda x: x["own"])).alias("tokens"))
+    none = F.array().cast("array<string>")
+    return rows.drop("names").join(tokens, "_row", "left").withColumn("tokens", F.coalesce("tokens", none))
 
 
 def judge_urls(
@@ -186,22 +231,28 @@ def judge_urls(
     """`page_id`, `host`, `path`, `rule`, `verdict`, `tokens` and `score` of each URL.
 
     `score` is the log odds of block against allow by the words; above 0 the method
-    blocks. A null URL or one without `://` has empty host and path, no tokens, and is
-    judged by the prior alone (allow, unless most pages are blocked). One row per
+    blocks. A URL that names seeds is an example to block, one without an example to
+    allow, but no seed is counted on its own strength: where it is the only seed of a
+    URL, that URL is no example for it. So a seed weighs by the other seeds it stands
+    with, any other word by the seeds around it, and a seed never seen with another
+    weighs nothing. A null URL or one without `://` has empty host and path, no tokens, and
+    is judged by the prior alone (allow, unless most pages are blocked). One row per
     input row, also for repeated rows; an empty table gives no rows. Other columns
     are ignored.
     """
-    counts, total, longest = _with_seeds(word_counts(pages), seeds)
+    counts, total = _with_seeds(word_counts(pages), seeds)
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    wanted = F.array(*(F.lit(f"{sign}{x}") for x in sorted(seeds) for sign in ("h:", "p:")))
-    bad = F.arrays_overlap("tokens", wanted).cast("long")
-    marked = stored(url_tokens(rows, counts, total, longest).withColumn("_bad", bad), "url_tokens")
-    pages_of = marked.agg(F.count("*").alias("n"), F.sum("_bad").alias("bad")).first()
-    n, n_bad = pages_of["n"], pages_of["bad"] or 0
-    table = marked.select(F.explode("tokens").alias("token"), "_bad").groupBy("token").agg(
-        F.sum("_bad").alias("bad"), F.sum(1 - F.col("_bad")).alias("good")
-    )
+    words = F.transform("tokens", lambda t: t.substr(F.lit(3), F.length(t)))
+    named = F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(seeds))))).cast("long")
+    marked = stored(url_tokens(rows, counts, total).withColumn("_named", named), "url_tokens")
+    pages_of = marked.agg(F.count("*").alias("n"), F.count_if(F.col("_named") > 0).alias("bad")).first()
+    n, n_bad = pages_of["n"], pages_of["bad"]
+    placed = marked.select(F.explode("tokens").alias("token"), "_named")
+    itself = F.expr("substring(token, 3)").isin(*seeds).cast("long")
+    table = placed.groupBy("token").agg(
+        F.count_if(F.col("_named") > itself).alias("bad"), F.count_if(F.col("_named") == 0).alias("good")
+    ).where("bad + good > 0")
     table = stored(table, "tokens")
     seen = table.agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     all_bad, all_good = ((seen[c] or 0) + seen["n"] + 1 for c in ("bad", "good"))
@@ -209,12 +260,12 @@ def judge_urls(
     weights = stored(table.select("token", weight.alias("_weight")), "weights")
     bias = math.log((n_bad + 1) / (n - n_bad + 1))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    own = ["_row", "page_id", "host", "path", "tokens"]
-    placed = marked.select(*own, F.posexplode_outer("tokens").alias("_at", "token")).join(key_side(weights), "token", "left")
+    placed = marked.select("_row", F.posexplode("tokens").alias("_at", "token")).join(_side(weights, "token"), "token")
     # Added in order of the tokens: the same sum however rows are dealt out.
-    parts = F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_weight"))))
-    score = F.aggregate(parts, F.lit(0.0), lambda done, x: done + x["_weight"]) + F.lit(bias)
-    scored = placed.groupBy(*own).agg(score.alias("score"))
+    parts = F.array_sort(F.collect_list(F.struct("_at", "_weight")))
+    total = F.aggregate(parts, F.lit(0.0), lambda done, x: done + x["_weight"])
+    sums = placed.groupBy("_row").agg(total.alias("_sum"))
+    scored = marked.join(sums, "_row", "left").withColumn("score", F.coalesce("_sum", F.lit(0.0)) + F.lit(bias))
     decided = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, decided).alias("verdict"), "tokens", "score"
