@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict, deque
 
+from pyspark.sql import functions as F
+
+from threadlens.operators import tree
 from threadlens.operators.tree import flatten
 
 SCHEMA = "post_id string, comment_id string, parent_id string, pos long"
@@ -85,3 +88,39 @@ def test_copies_of_a_comment_count_once(spark):
     assert listed(spark, rows * 3) == walk(rows)
     frame = spark.createDataFrame(rows * 3, SCHEMA)
     assert flatten(frame).count() == 3
+
+
+def deep_forest(seed):
+    """Chains of many lengths side by side, with branches, some below a missing comment."""
+    rng, rows = random.Random(seed), []
+    for p in range(2):
+        for chain in range(24):
+            length, top = rng.randrange(1, 45), rng.choice([None, None, f"gone{chain}"])
+            above = top
+            for i in range(length):
+                own = f"{rng.choice('abxyz')}{chain}-{i}"
+                rows.append((f"p{p}", own, above, rng.randrange(2)))
+                if rng.random() < 0.3:
+                    rows.append((f"p{p}", f"side{chain}-{i}", above, rng.randrange(2)))
+                above = own
+    rng.shuffle(rows)
+    return rows
+
+
+def test_deep_threads_also_below_missing_comments(spark):
+    for seed in (3, 4):
+        rows = deep_forest(seed)
+        assert listed(spark, rows) == walk(rows)
+
+
+def test_numbered_paths_from_the_first_round_on(spark, monkeypatch):
+    monkeypatch.setattr(tree, "_GROWING", 0)
+    rows = deep_forest(5) + random_forest(6, [1, 40, 200])
+    assert listed(spark, rows) == walk(rows)
+
+
+def test_paths_do_not_grow_with_the_depth(spark):
+    chain = [("p", f"c{i}", f"c{i - 1}" if i else None, 0) for i in range(1_500)]
+    placed, found = tree._paths(spark.createDataFrame(chain, SCHEMA))
+    longest, deepest = placed.agg(F.max(F.octet_length("path")), F.max("depth")).first()
+    assert found == 1_500 and deepest == 1_499 and longest <= 8 * (8 + 5 + 1)

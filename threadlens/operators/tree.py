@@ -9,6 +9,8 @@ from threadlens.operators.ranking import number_within
 from threadlens.storage import key_side, stored
 
 _LARGE_THREAD = 1_000_000
+# Rounds in which paths grow; after them a path is a number of eight bytes.
+_GROWING = 3
 
 
 def flatten(comments: DataFrame, large_thread: int = _LARGE_THREAD) -> DataFrame:
@@ -55,6 +57,12 @@ def _paths(comments: DataFrame) -> tuple[DataFrame, int]:
     points to is put in front, and `up` moves on to where that node points. So a
     thread of depth d takes about log2(d) joins, not d. Only ids and positions
     take part, and finished comments are never written again.
+
+    Paths of equal depth are all that is ever compared. From `_GROWING` rounds on a round
+    replaces both halves of a path by their place in the order of all pairs of halves, so
+    a path stays short however deep the thread. Halves of comments of equal depth stem
+    from the same round. Where a pointer leads to a missing comment a round says no more than
+    the one before did, so such a path stays as it is.
     """
     # Copies of a comment would multiply along its replies.
     place = F.min(F.struct("parent_id", "pos")).alias("place")
@@ -71,6 +79,7 @@ def _paths(comments: DataFrame) -> tuple[DataFrame, int]:
     )
     finished = [nodes.filter(F.col("up").isNull())]
     climbing = nodes.filter(F.col("up").isNotNull())
+    rounds = 0
     while left:
         known = reduce(DataFrame.unionByName, [*finished, climbing]).select(
             "post_id",
@@ -79,19 +88,25 @@ def _paths(comments: DataFrame) -> tuple[DataFrame, int]:
             F.col("depth").alias("steps"),
             F.col("path").alias("upper"),
         )
+        rounds += 1
         # A missing parent gives nulls and thereby ends the climb.
         orphan = F.col("upper").isNull()
+        joined = climbing.join(known, ["post_id", "up"], "left")
+        if rounds <= _GROWING:
+            path = F.concat("upper", "path")
+        else:
+            # Numbers ascend within a partition and from one to the next.
+            joined = joined.repartitionByRange("upper", "path").sortWithinPartitions("upper", "path")
+            path = _sortable(F.monotonically_increasing_id())
         nodes, _, still = _kept(
-            climbing.join(known, ["post_id", "up"], "left").select(
+            joined.select(
                 "post_id",
                 "comment_id",
                 F.col("above").alias("up"),
                 F.when(orphan, F.col("depth"))
                 .otherwise(F.col("depth") + F.col("steps") + 1)
                 .alias("depth"),
-                F.when(orphan, F.col("path"))
-                .otherwise(F.concat("upper", "path"))
-                .alias("path"),
+                F.when(orphan, F.col("path")).otherwise(path).alias("path"),
             )
         )
         finished.append(nodes.filter(F.col("up").isNull()))
@@ -117,8 +132,12 @@ def _step(pos: Column, comment_id: Column) -> Column:
     Fixed-width position, id and a closing zero: strung together, paths sort like
     the lists of their steps, at a fraction of the size of an array.
     """
-    place = F.unhex(F.lpad(F.hex(F.coalesce(pos, F.lit(0))), 16, "0"))
-    return F.concat(place, comment_id.cast("binary"), F.lit(b"\x00"))
+    return F.concat(_sortable(F.coalesce(pos, F.lit(0))), comment_id.cast("binary"), F.lit(b"\x00"))
+
+
+def _sortable(number: Column) -> Column:
+    """A number (0 or more) as eight bytes that sort like it."""
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
 
 
 def _kept(nodes: DataFrame) -> tuple[DataFrame, int, int]:
