@@ -11,6 +11,7 @@ from threadlens.sources.dumps import (
     stream_posts,
     stream_submissions,
 )
+from threadlens.streaming.buckets import deal_out, read_dealt
 from threadlens.streaming.incremental import (
     condense_incremental,
     dead_letter,
@@ -25,11 +26,13 @@ __all__ = [
     "condense_incremental",
     "condense_outcomes",
     "dead_letter",
+    "deal_out",
     "ingest_comments",
     "ingest_posts",
     "ledger",
     "missing_communities",
     "read_comments",
+    "read_dealt",
     "read_submissions",
     "read_threads",
     "results",

@@ -227,6 +227,7 @@ ORACLE_SQL: dict[str, str] = {
     "condense_callable": _MEASURED,
     "condense_incremental": _CONDENSE,
     "condense_incremental_table": _MEASURED,
+    "condense_incremental_dealt": _MEASURED,
     "dead_letter": f"""{with_views(RESPONSES)}, {_OBJECTS}, {_ANALYSED}
         select post_id, 'analysis' stage, 'reply is not a JSON object' error from analysed where status = 'failed'""",
     "dead_letter_answers": f"""{_ASKED}

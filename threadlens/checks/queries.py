@@ -29,6 +29,7 @@ from threadlens.sources.dumps import (
     stream_submissions,
 )
 from threadlens.storage import new_folder, stored
+from threadlens.streaming.buckets import deal_out
 from threadlens.streaming.incremental import condense_incremental, dead_letter
 
 TOP_PER_COMMUNITY = 3
@@ -302,6 +303,14 @@ def condense_incremental_table(spark: SparkSession, sf: str) -> DataFrame:
     return condense_incremental(posts, comments, backend, out, chunk_rows=half)
 
 
+def condense_incremental_dealt(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments are dealt into buckets; each of three batches reads its share of them."""
+    out = new_folder(spark, "incremental")
+    posts, comments = views.posts(spark, sf), deal_out(views.comments(spark, sf), new_folder(spark, "dealt"), 64)
+    third = -(-posts.count() // 3)
+    return condense_incremental(posts, comments, _measuring_backend(spark), out, chunk_rows=third)
+
+
 def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     out = new_folder(spark, "incremental")
     condense_incremental(
@@ -434,6 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "condense_callable": condense_callable,
     "condense_incremental": condense_incremental_stream,
     "condense_incremental_table": condense_incremental_table,
+    "condense_incremental_dealt": condense_incremental_dealt,
     "dead_letter": dead_letters,
     "dead_letter_answers": dead_letter_answers,
     "retry_answers": retry_answers,

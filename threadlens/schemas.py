@@ -109,10 +109,11 @@ REPLIES = T.StructType(
 )
 
 _PLACE = [T.StructField("run", T.IntegerType()), T.StructField("batch", T.LongType())]
-STORED_OUTCOMES = T.StructType([*OUTCOMES.fields, *_PLACE])
+# Below the folder of a run; without buckets in runs that were begun without them.
+STORED_OUTCOMES = T.StructType([*OUTCOMES.fields, _PLACE[1]])
 STORED_REENTRY = T.StructType([*REENTRY.fields, *_PLACE])
 STORED_REPLIES = T.StructType([*REPLIES.fields, _PLACE[1]])
-RUNS = T.StructType([_PLACE[0]])
+RUNS = T.StructType([_PLACE[0], T.StructField("buckets", T.IntegerType())])
 
 # The column titles of the exchanged CSV files, in file order.
 POSTS_CSV_HEADER = {

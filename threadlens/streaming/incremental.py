@@ -6,6 +6,9 @@ cannot disagree. `replies` holds what the model said, written stage by stage, so
 that a run cut short before its outcomes are written does not ask again.
 Both are only ever appended to, and what to append is found by anti-join on the
 post: repeating a batch, whole or in part, adds what is missing and no more.
+
+The outcomes of a run lie in buckets by post, and comments may (`deal_out`): a batch then
+reads the buckets of its own posts, and its cost does not grow with what is done.
 """
 
 import logging
@@ -33,7 +36,15 @@ from threadlens.schemas import (
     STORED_REENTRY,
     STORED_REPLIES,
 )
-from threadlens.storage import key_side, new_folder, stored, table_or_empty
+from threadlens.storage import exists, key_side, new_folder, stored, table_or_empty
+from threadlens.streaming.buckets import (
+    BUCKET,
+    Dealt,
+    bucket_numbers,
+    bucket_of,
+    only_buckets,
+    with_bucket,
+)
 
 log = logging.getLogger(__name__)
 
@@ -45,25 +56,28 @@ _IS_OPEN = "status = 'failed' or coalesce(answer_status = 'failed', false)"
 
 def condense_incremental(
     posts: DataFrame,
-    comments: DataFrame,
+    comments: DataFrame | Dealt,
     backend: Backend,
     out: str,
     fresh: bool = False,
     retry_failed: bool = False,
     chunk_rows: int | None = None,
+    buckets: int = 16,
 ) -> DataFrame:
     """Condense the posts not done yet and return all results of the run.
 
     `posts` may be a table or a stream of arriving files; a stream is read up to
     what is there and remembers which files it has read. `comments` is joined as
-    it stands. A run continues the latest one unless `fresh` starts a new one.
+    it stands; of a table that `deal_out` wrote a batch reads its share only. So it does of
+    the outcomes, dealt into `buckets` when a run begins: as many as make one a fair read for
+    a batch when all is done. A run continues the latest one unless `fresh` starts a new one.
     Failed posts and failed answers are left alone unless `retry_failed`: then all of the
     run are tried once more, before any new post, whether `posts` holds them or not. With `chunk_rows` a table
     is worked off in chunks of about that many posts, each saved on its own; a
     stream is chunked by its files per batch.
     """
     spark = posts.sparkSession
-    run = _begin(spark, out, fresh)
+    run = _begin(spark, out, fresh, buckets)
     first = _latest_batch(outcomes(spark, out, run).filter(F.col("batch") < RETRIES)) + 1
     if isinstance(backend, FunctionModel):
         # Replies of batches after the last finished one stem from a run cut short.
@@ -94,7 +108,7 @@ def condense_incremental(
 def outcomes(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
     """Every processed post of a run, by default of the latest."""
     run = _latest_run(spark, out) if run is None else run
-    return _all_outcomes(spark, out).filter(F.col("run") == run)
+    return _stored_outcomes(spark, out, run, _dealt(spark, out, run)).drop(BUCKET)
 
 
 def results(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
@@ -152,7 +166,7 @@ def _states(done: DataFrame) -> DataFrame:
 
 def _condense_batch(
     posts: DataFrame,
-    comments: DataFrame,
+    comments: DataFrame | Dealt,
     backend: Backend,
     out: str,
     run: int,
@@ -160,18 +174,25 @@ def _condense_batch(
     retry_failed: bool,
 ) -> None:
     spark = posts.sparkSession
-    known = ledger(spark, out, run)
+    dealt = _dealt(spark, out, run)
+    known = _states(_outcomes_near(posts, out, run, dealt))
     # Stored, as every stage below starts from it.
     needed = each_once(posts.select(*REENTRY.names), ["post_id"])
     todo = stored(_with_rounds(needed, known, retry_failed), "todo")
     if isinstance(backend, FunctionModel):
         backend = replace(backend, batch=batch)
-    rows = outcomes_of_distinct(todo, comments, backend)
-    _keep(spark, rows, todo.select(*REENTRY.names), out, run, batch)
+    rows = outcomes_of_distinct(todo, _share(comments, todo), backend)
+    _keep(spark, rows, todo.select(*REENTRY.names), out, run, batch, dealt)
 
 
 def _keep(
-    spark: SparkSession, rows: DataFrame, todo: DataFrame | None, out: str, run: int, batch: int
+    spark: SparkSession,
+    rows: DataFrame,
+    todo: DataFrame | None,
+    out: str,
+    run: int,
+    batch: int,
+    dealt: int | None,
 ) -> None:
     """Append the outcomes of a batch; before them, the text of posts that failed.
 
@@ -185,11 +206,15 @@ def _keep(
         failed = rows.filter(F.col("status") == "failed").select("post_id")
         texts = todo.join(failed, "post_id", "left_semi").select(*REENTRY.names)
         texts.write.mode("append").parquet(f"{out}/reentry/run={run}/batch={batch}")
-    rows.write.mode("append").parquet(f"{out}/outcomes/run={run}/batch={batch}")
+    if dealt is None:
+        writer = rows.write
+    else:
+        writer = rows.withColumn(BUCKET, bucket_of(F.col("post_id"), dealt)).hint("rebalance", BUCKET).write.partitionBy(BUCKET)
+    writer.mode("append").parquet(f"{out}/outcomes/run={run}/batch={batch}")
     log.info("run %s, batch %s: %s", run, batch, counts)
 
 
-def _retry(spark: SparkSession, comments: DataFrame, backend: Backend, out: str, run: int) -> None:
+def _retry(spark: SparkSession, comments: DataFrame | Dealt, backend: Backend, out: str, run: int) -> None:
     """Try once more what failed in a run, as a batch of its own.
 
     A retry cut short leaves its replies under the number that the next one takes.
@@ -204,6 +229,7 @@ def _retry(spark: SparkSession, comments: DataFrame, backend: Backend, out: str,
         .select("post_id", F.col("failures").alias("round"), F.col("last.stage").alias("_from")),
         "again",
     )
+    comments = _share(comments, again)
     # The last outcome of each has what the stages before the failed one said.
     latest = F.max_by(F.struct(*[c for c in OUTCOMES.names if c != "post_id"]), "batch").alias("_row")
     failed = stored(
@@ -220,7 +246,7 @@ def _retry(spark: SparkSession, comments: DataFrame, backend: Backend, out: str,
         if not rows.isEmpty():
             parts.append(outcomes_from(rows, stage, comments, backend))
     if parts:
-        _keep(spark, reduce(DataFrame.unionByName, parts), None, out, run, number)
+        _keep(spark, reduce(DataFrame.unionByName, parts), None, out, run, number, _dealt(spark, out, run))
 
 
 def _with_rounds(posts: DataFrame, known: DataFrame, retry_failed: bool) -> DataFrame:
@@ -253,21 +279,44 @@ def _chunks(posts: DataFrame, chunk_rows: int | None) -> list[DataFrame]:
     return [split.filter(F.col("_chunk") == i).drop("_chunk") for i in range(count)]
 
 
-def _all_outcomes(spark: SparkSession, out: str) -> DataFrame:
-    return table_or_empty(spark, f"{out}/outcomes", STORED_OUTCOMES)
+def _share(comments: DataFrame | Dealt, posts: DataFrame) -> DataFrame:
+    """The comments to look through for stored posts."""
+    return comments.share(posts) if isinstance(comments, Dealt) else comments
+
+
+def _stored_outcomes(spark: SparkSession, out: str, run: int | None, dealt: int | None) -> DataFrame:
+    schema = STORED_OUTCOMES if dealt is None else with_bucket(STORED_OUTCOMES)
+    rows = table_or_empty(spark, f"{out}/outcomes/run={run}", schema)
+    return rows.withColumn("run", F.lit(run).cast("int"))
+
+
+def _outcomes_near(posts: DataFrame, out: str, run: int, dealt: int | None) -> DataFrame:
+    """The outcomes of a run in the buckets that the posts fall in."""
+    spark = posts.sparkSession
+    done = _stored_outcomes(spark, out, run, dealt)
+    # The first batch of a run has nothing to look up.
+    if dealt is None or not exists(spark, f"{out}/outcomes/run={run}"):
+        return done.drop(BUCKET)
+    return only_buckets(done, bucket_numbers(posts, dealt), dealt).drop(BUCKET)
 
 
 def _latest_run(spark: SparkSession, out: str) -> int | None:
     return table_or_empty(spark, f"{out}/runs", RUNS).agg(F.max("run")).first()[0]
 
 
-def _begin(spark: SparkSession, out: str, fresh: bool) -> int:
+def _dealt(spark: SparkSession, out: str, run: int | None) -> int | None:
+    """How many buckets the outcomes of a run are dealt into, if any."""
+    begun = table_or_empty(spark, f"{out}/runs", RUNS).filter(F.col("run").eqNullSafe(F.lit(run)))
+    return begun.agg(F.max("buckets")).first()[0]
+
+
+def _begin(spark: SparkSession, out: str, fresh: bool, buckets: int) -> int:
     """The run to continue; a new one is noted before any work is done for it."""
     latest = _latest_run(spark, out)
     if latest is not None and not fresh:
         return latest
     run = 0 if latest is None else latest + 1
-    spark.createDataFrame([(run,)], RUNS).write.mode("append").parquet(f"{out}/runs")
+    spark.createDataFrame([(run, buckets)], RUNS).write.mode("append").parquet(f"{out}/runs")
     return run
 
 
