@@ -431,3 +431,21 @@ def test_pipeline_stage_takes_a_large_benchmark(spark):
     items = [(f"i{i}", f"x{i} " * 50_000) for i in range(12)] + [("hit", "a b c d e f g h i j")]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     assert [r.doc_id for r in decontaminate(docs, benchmark).collect()] == [2]
+
+
+def test_columns_of_the_user_keep_their_values(spark):
+    """Columns named as the helper columns of the filtering operators."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    same = " ".join(f"w{i}" for i in range(30))
+    texts = [same, same, f"{passage} and more", "a clean text", None]
+    rows = [(i, t, i + 10, f"g{i}", i + 20, f"t{i}", f"c{i}", i) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, _key long, _gone string, _HIT long, _text string, component_id string, _key_ int"
+    docs = spark.createDataFrame(rows, schema)
+    benchmark = spark.createDataFrame([("b", passage), ("c", "one two three")], "item_id string, text string")
+    for kept in (keep_one(docs), keep_one_row(docs)):
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] != 1]
+    left = decontaminate(docs, benchmark, block_words=2)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [r for r in rows if r[0] != 2]
+    cut = sorted(map(tuple, decontaminate(docs, benchmark, mode="spans", block_words=2).collect()))
+    assert [r[2:] for r in cut] == [r[2:] for r in rows] and "p0" not in cut[2][1] and cut[0] == rows[0]

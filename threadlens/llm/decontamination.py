@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.llm.columns import unused
 from threadlens.llm.encoding import runs_of
 from threadlens.storage import key_side, stored
 
@@ -297,17 +298,18 @@ def _cleaned_in_blocks(docs: DataFrame, blocks: list[DataFrame], window: int, sp
     text = F.col("text").cast("string")
     rows = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
     hits = _hits(rows, blocks, window)
-    keys = stored(hits.select(F.col("doc_id").alias("_hit")).distinct(), "hit_texts")
+    hit, cleaned = unused(docs, "_hit"), unused(docs, "_text")
+    keys = stored(hits.select(F.col("doc_id").alias(hit)).distinct(), "hit_texts")
     if not spans:
-        return docs.join(key_side(keys), F.xxhash64(text) == F.col("_hit"), "left_anti")
-    now = rows.join(key_side(keys), F.col("doc_id") == F.col("_hit"), "left_semi").dropDuplicates(["doc_id"])
+        return docs.join(key_side(keys), F.xxhash64(text) == F.col(hit), "left_anti")
+    now = rows.join(key_side(keys), F.col("doc_id") == F.col(hit), "left_semi").dropDuplicates(["doc_id"])
     # A cut joins words that were apart, which may make a window of any block.
     while not hits.isEmpty():
         own = hits.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
         now = now.join(own, "doc_id", "left").select("doc_id", "text", "spans")
         now = stored(now.mapInArrow(_cut, "doc_id long, text string"), "cut_texts")
         hits = _hits(now, blocks, window)
-    new = now.select(F.col("doc_id").alias("_hit"), F.col("text").alias("_text"))
-    out = docs.join(new, F.xxhash64(text) == F.col("_hit"), "left")
+    new = now.select(F.col("doc_id").alias(hit), F.col("text").alias(cleaned))
+    out = docs.join(new, F.xxhash64(text) == F.col(hit), "left")
     kind = docs.schema["text"].dataType
-    return out.withColumn("text", F.coalesce(F.col("_text").cast(kind), "text")).select(*docs.columns)
+    return out.withColumn("text", F.coalesce(F.col(cleaned).cast(kind), "text")).select(*docs.columns)

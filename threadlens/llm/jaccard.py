@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.llm.columns import unused
 from threadlens.llm.components import components
 from threadlens.llm.encoding import runs_of
 from threadlens.storage import key_side, stored
@@ -346,9 +347,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     Documents that link with nothing, and rows without `doc_id`, stay; rows that share a
     `doc_id` stay or go together. Columns are kept as they are.
     """
-    found = near_duplicates(docs, words, percent)
-    gone = stored(found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(key_side(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    found, name = near_duplicates(docs, words, percent), unused(docs, "_gone")
+    gone = stored(found.where("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(key_side(gone), docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def keep_one_row(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -360,17 +361,18 @@ def keep_one_row(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     with nothing and stay. Columns are kept as they are.
     """
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    keyed = docs.withColumn("_key", F.xxhash64(doc_id, text))
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), words, percent).where("n_shingles > 0")
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(doc_id, text))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent).where("n_shingles > 0")
     found = stored(found.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("_n")), "row_components")
     many = stored(found.groupBy("component_id").agg(F.sum("_n").alias("_rows")).where("_rows > 1").drop("_rows"), "many")
     members = stored(found.join(key_side(many), "component_id"), "members")
-    ids = keyed.select("_key", doc_id.alias("_id")).join(key_side(members.select("_key", "component_id")), "_key")
+    ids = keyed.select(F.col(key).alias("_key"), doc_id.alias("_id")).join(key_side(members.select("_key", "component_id")), "_key")
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("m"))
     stay = stored(first.select("component_id", F.col("m._key").alias("_stay")), "stay")
     marked = members.join(key_side(stay), "component_id")
-    gone = stored(marked.where("_key != _stay").select("_key"), "gone")
-    twice = stored(marked.where("_key = _stay and _n > 1").select("_key"), "twice")
-    left = keyed.join(key_side(gone), "_key", "left_anti")
-    once = left.join(key_side(twice), "_key", "left_semi").dropDuplicates(["_key"])
-    return left.join(key_side(twice), "_key", "left_anti").unionByName(once).select(*docs.columns)
+    gone = stored(marked.where("_key != _stay").select(F.col("_key").alias(key)), "gone")
+    twice = stored(marked.where("_key = _stay and _n > 1").select(F.col("_key").alias(key)), "twice")
+    left = keyed.join(key_side(gone), key, "left_anti")
+    once = left.join(key_side(twice), key, "left_semi").dropDuplicates([key])
+    return left.join(key_side(twice), key, "left_anti").unionByName(once).select(*docs.columns)
