@@ -20,7 +20,7 @@ from threadlens.operators.tree import flatten
 from threadlens.plans.condense import condense, condense_outcomes
 from threadlens.plans.ingest import ingest_comments, ingest_posts
 from threadlens.sinks.csv import write_condensed, write_threads
-from threadlens.schemas import CONDENSED
+from threadlens.schemas import CONDENSED, POSTS
 from threadlens.sources.csv import READ_OPTIONS, missing_communities, read_threads
 from threadlens.sources.dumps import (
     read_comments,
@@ -276,16 +276,27 @@ def condense_callable(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _as_files(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly into files: as many as shuffles have partitions, four at least.
+    With a fixed number the share of a task would grow with the table."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(4, usual))
+
+
+def _half(arrived: DataFrame) -> int:
+    """How many files make a batch, so that there are two."""
+    return max(1, -(-len(arrived.inputFiles()) // 2))
+
+
 def condense_incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Posts arrive as files of a stream; a second start finds nothing to do."""
     arriving, out = new_folder(spark, "arriving"), new_folder(spark, "incremental")
-    ingest_posts(views.raw_submissions(spark, sf), min_comments=-1).repartition(
-        4
-    ).write.parquet(arriving)
+    _as_files(ingest_posts(views.raw_submissions(spark, sf), min_comments=-1)).write.parquet(arriving)
+    half = _half(spark.read.schema(POSTS).parquet(arriving))
     comments = views.comments(spark, sf)
     backend = Replay(views.responses(spark, sf))
     for _ in range(2):
-        posts = stream_posts(spark, arriving, files_per_batch=2)
+        posts = stream_posts(spark, arriving, files_per_batch=half)
         done = condense_incremental(posts, comments, backend, out)
     return done
 
@@ -338,7 +349,7 @@ def _refusing_answers(spark: SparkSession) -> FunctionModel:
 def _refused(spark: SparkSession, sf: str) -> tuple[str, str]:
     """Posts arrive as files and some answers fail."""
     arriving, out = new_folder(spark, "arriving"), new_folder(spark, "incremental")
-    ingest_posts(views.raw_submissions(spark, sf), min_comments=-1).repartition(2).write.parquet(arriving)
+    _as_files(ingest_posts(views.raw_submissions(spark, sf), min_comments=-1)).write.parquet(arriving)
     posts = stream_posts(spark, arriving)
     condense_incremental(posts, views.comments(spark, sf), _refusing_answers(spark), out)
     return arriving, out
@@ -406,8 +417,9 @@ def ingest_json_comments(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = new_folder(spark, "stream")
-    views.raw_submissions(spark, sf).repartition(4).write.json(f"{base}/arriving")
-    arriving = stream_submissions(spark, f"{base}/arriving", files_per_batch=2)
+    _as_files(views.raw_submissions(spark, sf)).write.json(f"{base}/arriving")
+    half = _half(read_submissions(spark, f"{base}/arriving"))
+    arriving = stream_submissions(spark, f"{base}/arriving", files_per_batch=half)
     ingest_posts(arriving).writeStream.format("parquet").option(
         "checkpointLocation", f"{base}/progress"
     ).trigger(availableNow=True).start(f"{base}/posts").awaitTermination()
