@@ -1,4 +1,4 @@
-"""The files that the stream queries let arrive: how many, and what one of them holds."""
+"""What one task of the stream queries has to read falls with the number of partitions."""
 
 import pytest
 
@@ -56,3 +56,9 @@ def test_a_file_holds_a_share_that_falls_with_the_partitions(spark, sf, partitio
     assert max(counts) <= 2 * N // PARTITIONS
     batches = [f for f in (folder / commits).iterdir() if f.name.isdigit()]
     assert len(batches) == (1 if "answers" in name else 2)
+
+
+def test_tasks_that_ask_the_stand_in_model_follow_the_partitions(spark, partitions):
+    prompts = spark.range(N).selectExpr("cast(id as string) post_id", "0 round", "'text' prompt")
+    for model in (Q._measuring_backend(), Q._refusing_answers()):
+        assert model._asked(prompts, "analysis").rdd.getNumPartitions() == PARTITIONS

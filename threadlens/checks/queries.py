@@ -235,7 +235,7 @@ def union_results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _measuring_backend(spark: SparkSession) -> FunctionModel:
+def _measuring_backend() -> FunctionModel:
     """A stand-in model whose replies follow from the length of the prompt."""
     levels = ("High", "Medium", "Low", "None")
 
@@ -267,12 +267,12 @@ def _measuring_backend(spark: SparkSession) -> FunctionModel:
     def model(instruction: str, prompts: list[str]) -> list[str]:
         return [stages[instruction](len(prompt)) for prompt in prompts]
 
-    return FunctionModel(model, partitions=spark.sparkContext.defaultParallelism)
+    return FunctionModel(model)
 
 
 def condense_callable(spark: SparkSession, sf: str) -> DataFrame:
     return condense(
-        views.posts(spark, sf), views.comments(spark, sf), _measuring_backend(spark)
+        views.posts(spark, sf), views.comments(spark, sf), _measuring_backend()
     )
 
 
@@ -305,7 +305,7 @@ def condense_incremental_table(spark: SparkSession, sf: str) -> DataFrame:
     """A first run takes part of the posts, a second one all of them, in chunks."""
     out = new_folder(spark, "incremental")
     posts, comments = views.posts(spark, sf), views.comments(spark, sf)
-    backend = _measuring_backend(spark)
+    backend = _measuring_backend()
     discussed = comments.select("post_id").distinct()
     condense_incremental(
         posts.join(discussed, "post_id", "left_semi"), comments, backend, out
@@ -319,7 +319,7 @@ def condense_incremental_dealt(spark: SparkSession, sf: str) -> DataFrame:
     out = new_folder(spark, "incremental")
     posts, comments = views.posts(spark, sf), deal_out(views.comments(spark, sf), new_folder(spark, "dealt"), 64)
     third = -(-posts.count() // 3)
-    return condense_incremental(posts, comments, _measuring_backend(spark), out, chunk_rows=third)
+    return condense_incremental(posts, comments, _measuring_backend(), out, chunk_rows=third)
 
 
 def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,9 +333,9 @@ def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     return dead_letter(spark, out).select("post_id", "stage", "error")
 
 
-def _refusing_answers(spark: SparkSession) -> FunctionModel:
+def _refusing_answers() -> FunctionModel:
     """The stand-in model, but it refuses every third answer by the prompt's length."""
-    model = _measuring_backend(spark)
+    model = _measuring_backend()
     reply, stage = model.function, P.ANSWER_INSTRUCTION
 
     def refuse(instruction: str, prompts: list[str]) -> list[str]:
@@ -351,7 +351,7 @@ def _refused(spark: SparkSession, sf: str) -> tuple[str, str]:
     arriving, out = new_folder(spark, "arriving"), new_folder(spark, "incremental")
     _as_files(ingest_posts(views.raw_submissions(spark, sf), min_comments=-1)).write.parquet(arriving)
     posts = stream_posts(spark, arriving)
-    condense_incremental(posts, views.comments(spark, sf), _refusing_answers(spark), out)
+    condense_incremental(posts, views.comments(spark, sf), _refusing_answers(), out)
     return arriving, out
 
 
@@ -362,7 +362,7 @@ def dead_letter_answers(spark: SparkSession, sf: str) -> DataFrame:
 def retry_answers(spark: SparkSession, sf: str) -> DataFrame:
     """A second start of the stream reads no file and asks for failed answers only."""
     arriving, out = _refused(spark, sf)
-    posts, model = stream_posts(spark, arriving), _measuring_backend(spark)
+    posts, model = stream_posts(spark, arriving), _measuring_backend()
     return condense_incremental(posts, views.comments(spark, sf), model, out, retry_failed=True)
 
 
